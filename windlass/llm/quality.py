@@ -52,7 +52,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> list[int]:
     good = F.broadcast(trusted_ids(labels))  # at most about TRUSTED_ROWS ids
     rows = docs.select("doc_id", text_of().alias("text")).join(good, F.col("doc_id") == F.col("__id"), "left")
     rows = _with_ngrams(rows.select(F.col("__id").isNotNull().cast("long").alias("good"), _words(F.col("text")).alias("__w")))
-    counts = rows.select("good", F.explode("__g").alias("g")).groupBy("g").agg(F.count("*").alias("raw"), F.sum("good").alias("target"))
+    # The outer form: the plain one would infer a filter on the array and push copies of its expressions into it.
+    counts = rows.select("good", F.explode_outer("__g").alias("g")).where("g IS NOT NULL").groupBy("g").agg(F.count("*").alias("raw"), F.sum("good").alias("target"))
     raw, target = [0] * BUCKETS, [0] * BUCKETS
     for r in counts.collect():  # at most BUCKETS rows
         raw[r["g"]], target[r["g"]] = r["raw"], r["target"]
@@ -67,7 +68,7 @@ def base_features(rows: DataFrame) -> DataFrame:
     n = F.size("__w")
     windows = F.when(n >= 3, F.transform(F.slice("__w", 1, F.greatest(n - 2, F.lit(0))), lambda w, i: F.struct(F.xxhash64(w, F.get("__w", i + 1), F.get("__w", i + 2)).alias("h"), i.alias("i"))))
     # Windows meet their equals by sorting 64-bit hashes within one text.
-    rows = rows.withColumn("__s", F.array_sort(F.coalesce(windows, F.array().cast("array<struct<h:bigint,i:int>>"))))
+    rows = rows.withColumn("__s", F.sort_array(F.coalesce(windows, F.array().cast("array<struct<h:bigint,i:int>>"))))
     same = lambda a, b: F.coalesce(F.get("__s", a)["h"] == F.get("__s", b)["h"], F.lit(False))
     twice = F.filter("__s", lambda x, k: same(k, k - 1) | same(k, k + 1))
     covered = F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
@@ -109,4 +110,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that quality_rules keeps, with all their columns; decided row by row, without a join."""
-    return _judged(docs, labels, threshold).where("kept").select("__row.*")
+    rows = _judged(docs, labels, threshold).select("__row", "kept", F.monotonically_increasing_id().alias("__n"))
+    # A projection with a row number lets no filter through, so that the features are not computed again below it.
+    return rows.where(F.col("kept") & (F.col("__n") >= 0)).select("__row.*")
