@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, quality, warc
+from . import exact_dedup, jaccard_join, mixing, quality, warc
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -28,8 +32,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op6_quality_rules, op8_mixing, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_warc, op4_jaccard_join, op6_quality_rules, op8_mixing, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.SQL, "op8_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {"op1_warc": warc.SQL, "op4_jaccard_join": jaccard_join.SQL, "op8_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL}
