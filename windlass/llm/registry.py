@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, mixing, quality, warc
+from . import exact_dedup, jaccard_join, mixing, quality, suffix_dedup, warc
 from .common import table
 
 
@@ -31,8 +31,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op4_jaccard_join, op6_quality_rules, op8_mixing, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_warc, op4_jaccard_join, op6_quality_rules, op8_mixing, op9_exact_dedup, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
