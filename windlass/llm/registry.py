@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, mixing, quality, suffix_dedup, warc
+from . import exact_dedup, jaccard_join, lm_scoring, mixing, quality, suffix_dedup, warc
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op4_jaccard_join, op6_quality_rules, op8_mixing, op9_exact_dedup, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_lm_scoring, op4_jaccard_join, op6_quality_rules, op8_mixing, op9_exact_dedup, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
