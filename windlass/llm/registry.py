@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, lm_scoring, mixing, quality, suffix_dedup, warc
+from . import exact_dedup, jaccard_join, license_scan, lm_scoring, mixing, pieces, quality, suffix_dedup, warc
 from .common import table
 
 
@@ -23,6 +24,15 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    return rows.withColumn("licenses", F.concat_ws(",", "licenses"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,7 +50,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_lm_scoring, op4_jaccard_join, op6_quality_rules, op8_mixing, op9_exact_dedup, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_lm_scoring, op4_jaccard_join, op5_pieces, op6_quality_rules, op7_license_scan, op8_mixing, op9_exact_dedup, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
