@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, license_scan, lm_scoring, mixing, pieces, quality, suffix_dedup, warc
+from . import exact_dedup, html_extract, jaccard_join, license_scan, lm_scoring, mixing, pieces, quality, suffix_dedup, warc
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_lm_scoring, op4_jaccard_join, op5_pieces, op6_quality_rules, op7_license_scan, op8_mixing, op9_exact_dedup, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_lm_scoring, op3_html_extract, op4_jaccard_join, op5_pieces, op6_quality_rules, op7_license_scan, op8_mixing, op9_exact_dedup, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
