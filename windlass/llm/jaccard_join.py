@@ -1,10 +1,12 @@
 """N-gram Jaccard join by T-occurrence search: short inverted lists are merged, long ones probed (DivideSkip).
 
-A set's shingles have one global order: those of hot lists last, then by hash. A set of n shingles that is to share
-T = ceil(t * n) of them with another shares one of its first n - T + 1; these are its short lists, the others its long
-ones. The short lists are merged by a shuffle on the shingle. Every list names its smallest document as centre, so a
-list of m documents yields m - 1 (centre, document) candidates and not m * m. Documents linked with their centre are in
-its class; only the rest of a centre's documents are compared further, in blocks of bounded size.
+A set's shingles have one global order: by the length class of their inverted lists, counted over all documents, then by
+hash. A set of n shingles that is to share T = ceil(t * n) of them with another shares one of its first n - T + 1; these
+are its short lists, the others its long ones. A list of one document is never sent, so a document with n - T + 1
+shingles of its own costs nothing further. The short lists are merged by a shuffle on the shingle. Every list names its
+smallest document as centre, so a list of m documents yields m - 1 (centre, document) candidates and not m * m.
+Documents linked with their centre are in its class; only the rest of a centre's documents are compared further, in
+blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import checked_broadcast, small_batches, stored
 from .components import components
+from .units import Units, arrow_table, pack, read_unit, unpack
 
 WORDS, NUM, DEN = 3, 9, 10
-#: A list is hot from so many documents on, or from this share of all documents; so the hot table, which goes to all
-#: tasks, has at most HOT_SHARE * (mean prefix length) entries at any input size.
-HOT_LIST, HOT_SHARE = 64, 4096
+#: Text bytes per bucket of shingles; the number of buckets grows with the text.
+BUCKET_BYTES = 16_000_000
 #: Documents of a centre in one comparison block, on either side.
 BLOCK = 128
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -63,14 +65,11 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - (num * n + den - 1) // den + 1
 
 
-def short_lists(shingles: np.ndarray, hot: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The first shingles of a set in the global order: hot ones last, then by hash."""
+def short_lists(shingles: np.ndarray, classes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Of the first n - T + 1 shingles in the global order those whose lists hold other documents too."""
     p = prefix_length(len(shingles), num, den)
-    if len(hot) and len(shingles):
-        at = np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)
-        is_hot = hot[at] == shingles
-        shingles = np.concatenate([shingles[~is_hot], shingles[is_hot]])
-    return shingles[:p]
+    order = np.argsort(classes, kind="stable")[:p]  # the shingles ascend, so ties stay in the order of their hashes
+    return shingles[order[classes[order] > 0]]
 
 
 def parity_bits(shingles: np.ndarray) -> bytes:
@@ -156,54 +155,84 @@ def _texts(batch: pa.RecordBatch, col: int) -> list[bytes]:
     return [t or b"" for t in batch.column(col).cast(pa.binary()).to_pylist()]
 
 
-def hot_shingles(docs: DataFrame, rows: int, k: int, num: int, den: int) -> np.ndarray:
-    """Shingles whose short lists are long, counted over all documents; the limit on a list keeps the table bounded."""
+def _file_shingles(src: str, k: int) -> tuple[list, list[np.ndarray], np.ndarray, np.ndarray]:
+    """doc_ids and sets of a file, its distinct shingles ascending, and for all sets' shingles their place among these."""
+    words, ids, sets = _Words(), [], []
+    for names, texts in read_unit(src):
+        ids += names
+        sets += [shingle_set(t, words, k) for t in texts]
+    flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    keys, where = np.unique(flat, return_inverse=True)
+    return ids, sets, keys, where
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = _Words(), [], 0
 
-        def out() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+def _thin(x: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as differences, byte plane by byte plane."""
+    return pack(np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(-1, 4).T.tobytes())
 
-        none = np.empty(0, np.uint64)
-        for batch in batches:
-            for text in _texts(batch, 0):
-                held.append(short_lists(shingle_set(text, words, k), none, num, den))
-                size += len(held[-1])
-            if size > 1_000_000:
-                yield out()
-                held, size = [], 0
-        if held:
-            yield out()
 
-    counts = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    limit = max(HOT_LIST, rows // HOT_SHARE)
-    hot = [r["key"] for r in counts.where(F.col("n") >= limit).select("key").collect()]  # bounded, see HOT_SHARE
-    return np.sort(np.array(hot, np.int64).view(np.uint64))
+def _thick(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(unpack(raw), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
 
 
-def describe(docs: DataFrame, hot: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, sid (hash of the whole set), n (its size), bits (parity map), keys (its short lists)."""
-    sent = docs.sparkSession.sparkContext.broadcast(hot)
+def describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, sid (hash of the whole set), n (its size), keys (its short lists), bits (parity map, if it has keys).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+    Every file reports its distinct shingles, without repeats, to their buckets; a bucket counts the files' documents and
+    replies with the length class of every list (0: one document; a file with two or more says so).
+    """
+    units = Units(docs)
+    bits = units.bits(BUCKET_BYTES)
+    sent_kinds = {"bucket": pa.int32(), "src": pa.string(), "blob": pa.binary(), "times": pa.binary()}
+    reply_kinds = {"bucket": pa.int32(), "src": pa.string(), "blob": pa.binary()}
+
+    def cut(keys: np.ndarray) -> np.ndarray:
+        return np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys))
+
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sids, sizes, bits, keys, ends = [], [], [], [], [0]
-            for text in _texts(batch, 1):
-                s = shingle_set(text, words, k)
-                sids.append(xxhash.xxh3_64_intdigest(s.tobytes()))
-                sizes.append(len(s))
-                bits.append(parity_bits(s))
-                keys.append(short_lists(s, sent.value, num, den) if len(s) else s)
-                ends.append(ends[-1] + len(keys[-1]))
-            flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            sid = pa.array(np.array(sids, np.uint64).view(np.int64))
-            yield pa.record_batch([batch.column(0), sid, pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), lists], ["doc_id", "sid", "n", "bits", "keys"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, sid long, n long, bits binary, keys array<long>")
+            for src in batch.column(0).to_pylist():
+                _, sets, keys, where = _file_shingles(src, k)
+                _, one = np.unique(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64), return_index=True)
+                first = np.zeros(len(sets), bool)
+                first[one] = True  # of equal sets in the file one counts
+                each = np.repeat(first, [len(s) for s in sets])
+                times = np.minimum(np.bincount(where[each], minlength=len(keys)), 255).astype(np.uint8)
+                low, cuts = (keys >> np.uint64(32 - bits)).astype(np.uint32), cut(keys)
+                out: dict[str, list] = {c: [] for c in sent_kinds}
+                for b in range(1 << bits):
+                    x, y = cuts[b], cuts[b + 1]
+                    if y > x or b == 0:  # bucket 0 hears of every file, so that every file has a reply
+                        for c, v in zip(out, (b, src, _thin(low[x:y]), pack(times[x:y].tobytes())), strict=True):
+                            out[c].append(v)
+                yield from arrow_table(out, sent_kinds).to_batches()
+
+    def count(key: tuple, group: pa.Table) -> pa.Table:
+        lows = [_thick(x) for x in group.column("blob").to_pylist()]
+        flat = np.concatenate(lows)
+        _, where = np.unique(flat, return_inverse=True)
+        times = np.concatenate([np.frombuffer(unpack(x), np.uint8) for x in group.column("times").to_pylist()])
+        total = np.bincount(where, times)[where] if len(flat) else np.empty(0)
+        classes = np.ceil(np.log2(np.maximum(total, 1))).astype(np.uint8)
+        parts = np.split(classes, np.cumsum([len(x) for x in lows])[:-1])
+        return arrow_table({"bucket": [key[0].as_py()] * len(lows), "src": group.column("src").to_pylist(), "blob": [pack(x.tobytes()) for x in parts]}, reply_kinds)
+
+    def tell(key: tuple, group: pa.Table) -> pa.Table:
+        ids, sets, _, where = _file_shingles(key[0].as_py(), k)
+        said = sorted(zip(group.column("bucket").to_pylist(), group.column("blob").to_pylist(), strict=True))
+        classes = np.concatenate([np.frombuffer(unpack(x), np.uint8) for _, x in said])[where]
+        ends = np.cumsum([0, *map(len, sets)])
+        keys = [short_lists(s, classes[a:b], num, den) for s, a, b in zip(sets, ends, ends[1:], strict=False)]
+        sid = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+        flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(flat))
+        maps = [parity_bits(s) if len(x) else None for s, x in zip(sets, keys, strict=True)]
+        return pa.table([pa.array(ids, pa.int64()), pa.array(sid), pa.array([len(s) for s in sets], pa.int64()), pa.array(maps, pa.binary()), lists], ["doc_id", "sid", "n", "bits", "keys"])
+
+    sent = stored(units.names.mapInArrow(report, "bucket int, src string, blob binary, times binary"))
+    replies = stored(sent.groupBy("bucket").applyInArrow(count, "bucket int, src string, blob binary"))
+    return replies.groupBy("src").applyInArrow(tell, "doc_id long, sid long, n long, bits binary, keys array<long>")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -318,11 +347,10 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hot = hot_shingles(docs, docs.count(), k, num, den)
-    base = stored(describe(docs, hot, k, num, den))
+    base = stored(describe(docs, k, num, den))
     sets = stored(base.where("n > 0 AND doc_id IS NOT NULL").groupBy("sid", "n").agg(F.min("doc_id").alias("rep")))
     # doc_id is unique among the representatives but for an id that stands before two texts: the larger set then speaks for it.
-    reps = base.join(sets, ["sid", "n"]).where("doc_id = rep").groupBy("rep").agg(F.max_by(F.struct("n", "bits", "keys"), "n").alias("x"))
+    reps = base.where("size(keys) > 0").join(sets, ["sid", "n"]).where("doc_id = rep").groupBy("rep").agg(F.max_by(F.struct("n", "bits", "keys"), "n").alias("x"))
     reps = stored(reps.select("rep", "x.*"))
 
     lists = reps.select("rep", F.explode("keys").alias("key"))
