@@ -192,9 +192,9 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, model_path: str = MODEL, seed: int = SEED) -> DataFrame:
+def round_trip(docs: DataFrame, model_path: str = MODEL, seed: int = SEED, with_ids: bool = False) -> DataFrame:
     """encode() and decode() in one pass: doc_id, n_bytes, n_pieces, pieces_sha256 (of the ids as little-endian int32),
-    text_sha256 (of the decoded text), lossless. Defined for all rows as encode() is."""
+    text_sha256 (of the decoded text), lossless, and ids if asked for. Defined for all rows as encode() is."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +215,13 @@ def round_trip(docs: DataFrame, model_path: str = MODEL, seed: int = SEED) -> Da
                 got = table[x][np.arange(longest) < sizes[x][:, None]].tobytes()  # the pieces' bytes, one after another
                 out.append((i, len(t), len(x), hashlib.sha256(x.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(got).hexdigest(), got == t))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_pieces", "pieces_sha256", "text_sha256", "lossless"])
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
+            names = ["doc_id", "n_bytes", "n_pieces", "pieces_sha256", "text_sha256", "lossless"]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per)].astype(np.int32)), pa.array(ids)))
+                names.append("ids")
+            yield pa.record_batch(columns, names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_pieces long, pieces_sha256 string, text_sha256 string, lossless boolean")
+    schema = "doc_id long, n_bytes long, n_pieces long, pieces_sha256 string, text_sha256 string, lossless boolean"
+    return rows.mapInArrow(run, schema + ", ids array<int>" * with_ids)

@@ -53,8 +53,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False).drop("kept")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_lm_scoring, op3_html_extract, op4_jaccard_join, op5_pieces, op6_quality_rules, op7_license_scan, op8_mixing, op9_exact_dedup, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_lm_scoring, op3_html_extract, op4_jaccard_join, op5_pieces, op6_quality_rules, op7_license_scan, op8_mixing, op9_exact_dedup, op10_suffix_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
