@@ -19,18 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
 import zstandard
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import shared_dir, text_of
+from .common import stored
 from .suffix_array import prefix_classes
+from .units import Units, read_unit
 
 SPAN, SHORT = 50, 16
-#: Text that is hashed at once, text bytes per bucket, and rows per file.
-CHUNK_BYTES, BUCKET_BYTES, FILE_ROWS = 2_000_000, 4_000_000, 8_000
+#: Text that is hashed at once, and text bytes per bucket.
+CHUNK_BYTES, BUCKET_BYTES = 2_000_000, 1_000_000
 #: The doc_id of rows without one: no other is larger.
 LAST = np.iinfo(np.int64).max
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
@@ -87,18 +85,18 @@ class Chunk:
         return self.data[self.first[i] : self.last[i] + span]
 
 
-def _chunks(path: str, span: int) -> Iterator[Chunk]:
-    where, name = pafs.FileSystem.from_uri(path)
+def _chunks(src: str, span: int) -> Iterator[Chunk]:
     ids: list[int] = []
     texts: list[bytes] = []
-    with where.open_input_file(name) as f:
-        for batch in pq.ParquetFile(f).iter_batches(batch_size=256, columns=["doc_id", "text"]):
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                ids.append(LAST if i is None else i)
-                texts.append(t)
-                if sum(map(len, texts[-1:])) > CHUNK_BYTES or len(texts) % 64 == 0 and sum(map(len, texts)) > CHUNK_BYTES:
-                    yield Chunk(ids, texts, span)
-                    ids, texts = [], []
+    size = 0
+    for names, found in read_unit(src, 64):
+        for i, t in zip(names, found, strict=True):
+            ids.append(LAST if i is None else i)
+            texts.append(t)
+            size += len(t)
+        if size > CHUNK_BYTES:
+            yield Chunk(ids, texts, span)
+            ids, texts, size = [], [], 0
     if texts:
         yield Chunk(ids, texts, span)
 
@@ -160,21 +158,13 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, texts: bool = True) -> Dat
 
     A byte goes when a span-byte string over it also starts in a row with a smaller doc_id; strings do not cross rows and
     are judged on the input. Null texts are empty. Rows with one doc_id do not remove each other's bytes; a null doc_id
-    counts as larger than all others. Only doc_id and text are read. A task holds the text of one file (FILE_ROWS rows)
+    counts as larger than all others. Only doc_id and text are read. A task holds the text of one file (4,000 rows)
     or of one bucket, whose number grows with the text.
     """
     if span < 2 * SHORT:
         raise ValueError(f"span must be at least {2 * SHORT}")
-    spark = docs.sparkSession
-    folder = shared_dir(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    rows.write.option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS).parquet(folder)
-    files = spark.read.schema("doc_id long, text string").parquet(folder).inputFiles()
-    total = sum(f.size for f in _infos(folder))
-    bits = 6
-    while bits < 16 and (2.0 * total) / (1 << bits) > BUCKET_BYTES:
-        bits += 1
-    paths = spark.createDataFrame([(f,) for f in sorted(files)], "src string").repartition(max(1, len(files)))
+    units = Units(docs)
+    bits = units.bits(BUCKET_BYTES)
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,11 +297,10 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, texts: bool = True) -> Dat
         return _table(out, _OUT)
 
     sent, reply = "bucket int, src string, blob binary", "src string, kind int, bucket int, blob binary"
-    from .common import stored
-
-    known = stored(stored(paths.mapInArrow(report, sent)).groupBy("bucket").applyInArrow(count, reply))
-    found = stored(stored(known.groupBy("src").applyInArrow(send, sent)).groupBy("bucket").applyInArrow(match, reply))
-    return known.union(found).groupBy("src").applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    known = stored(units.by_bucket(stored(units.names.mapInArrow(report, sent)), bits).applyInArrow(count, reply))
+    asked = stored(units.by_file(known).applyInArrow(send, sent))
+    found = stored(units.by_bucket(asked, bits).applyInArrow(match, reply))
+    return units.by_file(known.union(found)).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 _OUT = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
@@ -322,7 +311,3 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     before = np.cumsum(sizes) - sizes
     return np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
 
-
-def _infos(folder: str):
-    where, path = pafs.FileSystem.from_uri(folder)
-    return [f for f in where.get_file_info(pafs.FileSelector(path)) if f.is_file]

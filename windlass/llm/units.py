@@ -17,7 +17,7 @@ from .common import shared_dir, text_of
 class Units:
     """docs (doc_id, text; null texts empty) written to files of at most `rows` rows."""
 
-    def __init__(self, docs: DataFrame, rows: int = 8_000):
+    def __init__(self, docs: DataFrame, rows: int = 4_000):
         spark = docs.sparkSession
         folder = shared_dir(spark)
         rows_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
@@ -27,6 +27,14 @@ class Units:
         self.bytes = sum(f.size for f in where.get_file_info(pafs.FileSelector(path)) if f.is_file)
         self.names = spark.createDataFrame([(f,) for f in self.files], "src string").repartition(max(1, len(self.files)))
 
+    def by_file(self, df: DataFrame):
+        """df grouped by src, a task for each file: what goes round between the steps is small, the files are not."""
+        return df.repartition(max(1, len(self.files)), "src").groupBy("src")
+
+    def by_bucket(self, df: DataFrame, bits: int):
+        """df grouped by bucket, in tasks for some 8 MB of the stored text each."""
+        return df.repartition(max(12, min(1 << bits, self.bytes // 8_000_000)), "bucket").groupBy("bucket")
+
     def bits(self, bucket_bytes: int, least: int = 6, most: int = 16) -> int:
         """log2 of the number of buckets, about `bucket_bytes` of text in each."""
         bits = least
