@@ -27,7 +27,7 @@ from .units import Units, arrow_table, pack, read_unit, unpack
 
 WORDS, NUM, DEN = 3, 9, 10
 #: Text bytes per bucket of shingles; the number of buckets grows with the text.
-BUCKET_BYTES = 16_000_000
+BUCKET_BYTES = 8_000_000
 #: Documents of a centre in one comparison block, on either side.
 BLOCK = 128
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -231,8 +231,8 @@ def describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         return pa.table([pa.array(ids, pa.int64()), pa.array(sid), pa.array([len(s) for s in sets], pa.int64()), pa.array(maps, pa.binary()), lists], ["doc_id", "sid", "n", "bits", "keys"])
 
     sent = stored(units.names.mapInArrow(report, "bucket int, src string, blob binary, times binary"))
-    replies = stored(sent.groupBy("bucket").applyInArrow(count, "bucket int, src string, blob binary"))
-    return replies.groupBy("src").applyInArrow(tell, "doc_id long, sid long, n long, bits binary, keys array<long>")
+    replies = stored(units.by_bucket(sent, bits).applyInArrow(count, "bucket int, src string, blob binary"))
+    return units.by_file(replies).applyInArrow(tell, "doc_id long, sid long, n long, bits binary, keys array<long>")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:

@@ -32,7 +32,7 @@ FOLDS, ROUNDS = 10, 2
 PRIOR = 1_000.0
 #: What every distinct training word leaves to its segmentations, in occurrences.
 DISCOUNT = 0.6
-BUCKET_BYTES = 16_000_000
+BUCKET_BYTES = 4_000_000
 _SENT = {"bucket": pa.int32(), "src": pa.string(), "kind": pa.int32(), "blob": pa.binary()}
 _OUT = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 
@@ -190,20 +190,21 @@ def score_texts(docs: DataFrame, vocabulary: str = VOCABULARY, folds: int = FOLD
     sent = stored(units.names.mapInArrow(report, columns))
     ends = sum(int(np.frombuffer(r["blob"], np.int64)[0]) for r in sent.where("kind = 2").select("blob").collect())  # a number per file
     words = sent.where("kind = 0")
-    table = stored(words.groupBy("bucket").applyInArrow(merge, "bucket int, blob binary, n long, v long"))
+    table = stored(units.by_bucket(words, bits).applyInArrow(merge, "bucket int, blob binary, n long, v long"))
     n, v = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    spread = table.select("bucket", "blob").repartition(max(12, min(1 << bits, units.bytes // 8_000_000)))
     prior_mass, weights = np.exp(start), start
     for _ in range(rounds if n else 0):
         sent_weights = spark.sparkContext.broadcast(weights)
         uses = np.zeros(len(pieces))
-        for r in table.select("bucket", "blob").mapInArrow(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():  # one row per piece
+        for r in spread.mapInArrow(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():  # one row per piece
             uses[r["piece"]] = r["uses"]
         mass = uses + prior * prior_mass
         weights = np.log(mass / mass.sum())
     sent_weights = spark.sparkContext.broadcast(weights)
     totals = (n + ends, v + (ends > 0), ends, float(np.log10(ends / (n + ends))) if ends else -2.0)
-    scored = stored(table.select("bucket", "blob").mapInArrow(score, columns))
-    replies = words.union(scored).groupBy("bucket").applyInArrow(answer, columns)
+    scored = stored(spread.mapInArrow(score, columns))
+    replies = units.by_bucket(words.union(scored), bits).applyInArrow(answer, columns)
     every = stored(replies).union(sent.where("kind = 2"))
-    result = every.groupBy("src").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    result = units.by_file(every).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return result.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(totals[0]).cast("long").alias("train_tokens"), "base_score", "score")
