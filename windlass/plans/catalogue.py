@@ -2,10 +2,573 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from windlass.functions import scalars as S
+from windlass.functions.scalars import r6
+from windlass.operators import evaluate, graph, mesh, sequences, spatial, surface, volume
+from windlass.sources.shared import table
+
+from . import fixtures as X
+from .fixtures import sql
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(text: str | None = None):
+    def keep(f):
+        _QUERIES[f.__name__] = f
+        if text is not None:
+            _SQL[f.__name__] = text
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+R = "round({}, 6) + 0.0 AS {}"  # how the SQL rounds what r6 rounds
+
+
+def c(name: str):
+    return F.col(name)
+
+
+# --- axis interpolation, angles -----------------------------------------------------------------------------------
+
+_CLAMP = "least(1.0, greatest(0.0, (q - y0) / (y1 - y0)))"
+_AT = "FROM {} p JOIN iv ON (p.{} >= y0 OR first) AND (p.{} < y1 OR last)"
+
+
+@query(sql("dense", "axis", "iv") + f" SELECT q, count(*) AS n, round(any_value(x0 + {_CLAMP} * (x1 - x0)), 6) AS ax, round(any_value(z0 + {_CLAMP} * (z1 - z0)), 6) AS az " + _AT.format("dense", "q", "q") + " GROUP BY q")
+def axis_interpolate_clamped(spark, d):
+    rows = X.dense(spark, d).groupBy("q").agg(F.count("*").alias("n"))
+    return spatial.axis_join(rows, X.axis(spark, d), "q").select("q", "n", r6(c("ax")).alias("ax"), r6(c("az")).alias("az"))
+
+
+@query(sql("points", "axis", "iv") + " SELECT pid, round(x0 + (y - y0) / (y1 - y0) * (x1 - x0), 6) + 0.0 AS ax, round(z0 + (y - y0) / (y1 - y0) * (z1 - z0), 6) + 0.0 AS az FROM (SELECT pid, y AS q FROM points) p JOIN iv ON (p.q >= y0 OR first) AND (p.q < y1 OR last)".replace("(y - y0)", "(q - y0)"))
+def axis_interpolate_extrapolated(spark, d):
+    return spatial.axis_join(X.points(spark, d), X.axis(spark, d), "y", clamp=False).select("pid", r6(c("ax")).alias("ax"), r6(c("az")).alias("az"))
+
+
+def _about_axis(spark, d):
+    rows = spatial.axis_join(X.points(spark, d), X.axis(spark, d), "y")
+    return rows.withColumn("angle", S.wrap_closed(F.degrees(F.atan2(c("z") - c("az"), c("x") - c("ax")))))
+
+
+_POLAR = sql("points", "axis", "iv") + ", m AS (SELECT p.*, x0 + least(1.0, greatest(0.0, (y - y0) / (y1 - y0))) * (x1 - x0) AS ax, z0 + least(1.0, greatest(0.0, (y - y0) / (y1 - y0))) * (z1 - z0) AS az FROM points p JOIN iv ON (p.y >= y0 OR first) AND (p.y < y1 OR last)), g AS (SELECT *, degrees(atan2(z - az, x - ax)) AS angle FROM m)"
+
+
+@query(_POLAR + " SELECT pid, round(angle, 6) + 0.0 AS angle FROM g")
+def polar_angle_wrap(spark, d):
+    return _about_axis(spark, d).select("pid", r6(c("angle")).alias("angle"))
+
+
+@query(_POLAR + " SELECT CAST(floor(angle / 10) AS BIGINT) AS bucket, count(*) AS n FROM g GROUP BY 1")
+def angle_histogram(spark, d):
+    return _about_axis(spark, d).groupBy(F.floor(c("angle") / 10).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(sql("points") + " SELECT pid, round(nx / sqrt(nx * nx + ny * ny + nz * nz), 6) + 0.0 AS ux, round(ny / sqrt(nx * nx + ny * ny + nz * nz), 6) + 0.0 AS uy, round(nz / sqrt(nx * nx + ny * ny + nz * nz), 6) + 0.0 AS uz, round(degrees(atan2(nz, nx)), 6) + 0.0 AS alpha FROM points")
+def unit_normals(spark, d):
+    u = S.unit(c("nx"), c("ny"), c("nz"))
+    return X.points(spark, d).select("pid", *[r6(v).alias(n) for v, n in zip(u, ("ux", "uy", "uz"), strict=True)], r6(S.wrap_closed(F.degrees(F.atan2("nz", "nx")))).alias("alpha"))
+
+
+@query(sql("points") + ", t AS (SELECT *, sqrt(x * x + y * y + z * z) AS l, sqrt(nx * nx + ny * ny + nz * nz) AS m, x * nx + y * ny + z * nz AS s FROM points) SELECT pid, round(acos(least(1.0, abs(s / (l * m)))), 6) AS undirected, round(acos(greatest(-1.0, least(1.0, s / (l * m)))), 6) AS directed, round(atan2(nz, nx) - atan2(z, x), 6) + 0.0 AS signed, round(s / m, 6) + 0.0 AS along, round(s / (m * m) * nx, 6) + 0.0 AS px FROM t")
+def vector_angles(spark, d):
+    a, b = [c(v) for v in ("x", "y", "z")], [c(v) for v in ("nx", "ny", "nz")]
+    s, m = S.dot(a, b), S.norm(*b)
+    return X.points(spark, d).select("pid", r6(S.undirected_angle(a, b)).alias("undirected"), r6(S.directed_angle(a, b)).alias("directed"), r6(S.signed_angle(a[0], a[2], b[0], b[2])).alias("signed"), r6(s / m).alias("along"), r6(s / (m * m) * b[0]).alias("px"))
+
+
+@query(sql("dense") + ", t AS (SELECT DISTINCT w, w - 360 * trunc(w / 360) + 150 - 100 * patch AS rest, patch FROM dense) SELECT w, patch, round(360 * trunc(w / 360) + CASE WHEN rest > 180 THEN rest - 360 WHEN rest < -180 THEN rest + 360 ELSE rest END, 6) AS shifted, round(((w + 180) % 360) - 180, 6) + 0.0 AS module, round_even((w - 100 * patch + 35) / 360.0 + 1e-9, 0) AS ell, 30 + 360.0 * round((w - 30) / 360.0) AS closest, round(greatest(0.4, exp(w * -ln(2.5) / 360)), 6) AS factor FROM t")
+def winding_scalars(spark, d):
+    w, p = c("w"), c("patch")
+    rows = X.dense(spark, d).select("w", "patch").distinct()
+    return rows.select("w", "patch", r6(S.residue_offset(w, F.lit(150.0) - 100.0 * p)).alias("shifted"), r6(S.module_angle(w)).alias("module"), S.winding_steps(w, 100.0 * p, F.lit(35.0)).alias("ell"), S.closest_winding(F.lit(30.0), w).alias("closest"), r6(S.certainty_factor(w)).alias("factor"))
+
+
+@query(sql("points") + " SELECT pid, round(z * 4 - 500, 6) + 0.0 AS mx, round(x * 4 - 500, 6) + 0.0 AS my, round(y * 4 - 500, 6) + 0.0 AS mz, round(cos(radians(30)) * x + sin(radians(30)) * z, 6) + 0.0 AS rx, round(cos(radians(30)) * z - sin(radians(30)) * x, 6) + 0.0 AS rz, round(greatest(0.0, least(1.0, (25.01 - abs(x)) / 25)) * greatest(0.0, least(1.0, (25.01 - abs(y)) / 25)) * greatest(0.0, least(1.0, (25.01 - abs(z)) / 25)), 6) AS weight, round(1 + 2 * y + 3 * y * y + 4 * x + 5 * x * y + 6 * x * x, 6) + 0.0 AS poly FROM points")
+def coordinate_scalars(spark, d):
+    x, y, z = c("x"), c("y"), c("z")
+    rx, _, rz = S.rotate_about_y(x, y, z, F.radians(F.lit(30.0)))
+    weight = S.tent(x, F.lit(0.0), 25.0) * S.tent(y, F.lit(0.0), 25.0) * S.tent(z, F.lit(0.0), 25.0)
+    return X.points(spark, d).select("pid", r6(z * 4 - 500).alias("mx"), r6(x * 4 - 500).alias("my"), r6(y * 4 - 500).alias("mz"), r6(rx).alias("rx"), r6(rz).alias("rz"), r6(weight).alias("weight"), r6(S.polynomial(x, y, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0], 2)).alias("poly"))
+
+
+# --- filters ------------------------------------------------------------------------------------------------------
+
+
+@query(sql("dense") + " SELECT patch, x - 10 AS x, y - 5 AS y, z AS z, count(*) AS n FROM dense WHERE x BETWEEN 10 AND 20 AND y BETWEEN 5 AND 15 AND z BETWEEN 0 AND 10 GROUP BY ALL")
+def box_filter_closed(spark, d):
+    rows = X.dense(spark, d).where("x BETWEEN 10 AND 20 AND y BETWEEN 5 AND 15 AND z BETWEEN 0 AND 10")
+    return rows.groupBy("patch", (c("x") - 10).alias("x"), (c("y") - 5).alias("y"), c("z").alias("z")).agg(F.count("*").alias("n"))
+
+
+@query(sql("dense") + " SELECT patch, count(*) AS n FROM dense WHERE (x >= 10 AND x < 20 AND y >= 0 AND y < 25) OR (z >= 40 AND z < 45) GROUP BY patch")
+def box_filter_half_open(spark, d):
+    return X.dense(spark, d).where("(x >= 10 AND x < 20 AND y >= 0 AND y < 25) OR (z >= 40 AND z < 45)").groupBy("patch").agg(F.count("*").alias("n"))
+
+
+@query(_POLAR + " SELECT pid, round(sqrt((x - ax) * (x - ax) + (z - az) * (z - az)), 6) AS dist FROM g WHERE sqrt((x - ax) * (x - ax) + (z - az) * (z - az)) <= 20")
+def axis_distance_filter(spark, d):
+    dist = S.norm(c("x") - c("ax"), c("z") - c("az"))
+    return _about_axis(spark, d).withColumn("dist", dist).where("dist <= 20").select("pid", r6(c("dist")).alias("dist"))
+
+
+@query(sql("points") + ", a AS (SELECT *, degrees(atan2(nz, nx)) AS angle FROM points) SELECT lab, count(*) AS n FROM a WHERE angle BETWEEN -30 AND 10 OR angle BETWEEN 90 AND 120 GROUP BY lab")
+def angle_ranges_filter(spark, d):
+    rows = X.points(spark, d).withColumn("angle", F.degrees(F.atan2("nz", "nx")))
+    return rows.where("angle BETWEEN -30 AND 10 OR angle BETWEEN 90 AND 120").groupBy("lab").agg(F.count("*").alias("n"))
+
+
+@query(sql("dense") + ", b AS (SELECT DISTINCT x // 10 AS bx, y // 10 AS by_, z // 10 AS bz FROM dense) SELECT bx, by_, bz FROM b WHERE abs(bx - 2) + abs(by_ - 2) + abs(bz - 2) < 3 AND by_ BETWEEN 1 AND 3")
+def block_distance_filter(spark, d):
+    cell = lambda v: F.floor(c(v) / 10)
+    rows = X.dense(spark, d).select(cell("x").alias("bx"), cell("y").alias("by_"), cell("z").alias("bz")).distinct()
+    return rows.where("abs(bx - 2) + abs(by_ - 2) + abs(bz - 2) < 3 AND by_ BETWEEN 1 AND 3")
+
+
+# --- blocks, voxels, distinct -------------------------------------------------------------------------------------
+
+
+@query(sql("dense") + " SELECT bx, by_, bz, count(*) AS n FROM dense, range(-25, 76, 25) a(bx), range(-25, 76, 25) b(by_), range(-25, 76, 25) e(bz) WHERE x >= bx AND x < bx + 50 AND y >= by_ AND y < by_ + 50 AND z >= bz AND z < bz + 50 GROUP BY ALL HAVING count(*) >= 10")
+def block_min_points(spark, d):
+    return spatial.blocks_with_enough(X.dense(spark, d)).withColumnRenamed("by", "by_")
+
+
+@query(sql("dense") + " SELECT bx, count(DISTINCT pid) AS pids, CAST(sum(x) AS BIGINT) AS sx FROM dense, range(-25, 76, 25) a(bx) WHERE x >= bx AND x < bx + 50 GROUP BY bx")
+def hopping_blocks(spark, d):
+    rows = X.dense(spark, d).withColumn("bx", F.explode(F.transform(F.sequence(F.floor((c("x") - 50) / 25) + 1, F.floor(c("x") / 25)), lambda i: i * 25)))
+    return rows.groupBy("bx").agg(F.countDistinct("pid").alias("pids"), F.sum("x").cast("long").alias("sx"))
+
+
+@query(sql("dense") + " SELECT x // 5 AS vx, y // 5 AS vy, z // 5 AS vz, min(pid) AS pid FROM dense GROUP BY ALL")
+def voxel_first(spark, d):
+    cells = [F.floor(c(v) / 5).alias(f"v{v}") for v in "xyz"]
+    return spatial.voxel_first(X.dense(spark, d).select("*", *cells), 5.0, ["pid"], ["vx", "vy", "vz", "pid"])
+
+
+@query(sql("dense") + " SELECT x, y, z, pid, w FROM dense QUALIFY row_number() OVER (PARTITION BY x, y, z ORDER BY pid, w) = 1")
+def distinct_on_point(spark, d):
+    return spatial.first_per(X.dense(spark, d), ["x", "y", "z"], ["pid", "w"], ["x", "y", "z", "pid", "w"])
+
+
+@query(sql("dense") + " SELECT DISTINCT x, y, z FROM dense")
+def distinct_points(spark, d):
+    return X.dense(spark, d).select("x", "y", "z").distinct()
+
+
+@query(sql("dense") + " SELECT patch, x, y, z, max(w) AS w FROM (SELECT patch, x, y, z, w FROM dense WHERE patch = 1 UNION ALL SELECT 1, x, y, z, w + 90 FROM dense WHERE patch = 2) GROUP BY ALL")
+def patch_union(spark, d):
+    rows = X.dense(spark, d).select("patch", "x", "y", "z", "w")
+    both = rows.where("patch = 1").union(rows.where("patch = 2").select(F.lit(1).alias("patch"), "x", "y", "z", (c("w") + 90).alias("w")))
+    return both.groupBy("patch", "x", "y", "z").agg(F.max("w").alias("w"))
+
+
+@query(sql("points") + " SELECT lab, CAST(floor(x / 20) AS BIGINT) AS tx, CAST(floor(z / 20) AS BIGINT) AS tz, count(*) AS n, round(avg(nx) / sqrt(avg(nx) * avg(nx) + avg(ny) * avg(ny) + avg(nz) * avg(nz)), 6) + 0.0 AS mx, round(avg(nz) / sqrt(avg(nx) * avg(nx) + avg(ny) * avg(ny) + avg(nz) * avg(nz)), 6) + 0.0 AS mz FROM points GROUP BY ALL")
+def tile_assign_mean_normal(spark, d):
+    per = X.points(spark, d).groupBy("lab", F.floor(c("x") / 20).alias("tx"), F.floor(c("z") / 20).alias("tz")).agg(F.count("*").alias("n"), *[F.avg(v).alias(v) for v in ("nx", "ny", "nz")])
+    u = S.unit(c("nx"), c("ny"), c("nz"))
+    return per.select("lab", "tx", "tz", "n", r6(u[0]).alias("mx"), r6(u[2]).alias("mz"))
+
+
+@query(sql("points") + ", t AS (SELECT *, greatest(0.0, least(1.0, (25.01 - abs(x)) / 25)) AS w FROM points) SELECT lab, round(sum(w * x) / sum(w), 6) + 0.0 AS x, round(sum(w * y) / sum(w), 6) + 0.0 AS y, count(*) AS n FROM t WHERE w > 0 GROUP BY lab")
+def tent_weighted_mean(spark, d):
+    rows = X.points(spark, d).withColumn("wt", S.tent(c("x"), F.lit(0.0), 25.0)).where("wt > 0")
+    return rows.groupBy("lab").agg(r6(F.sum(c("wt") * c("x")) / F.sum("wt")).alias("x"), r6(F.sum(c("wt") * c("y")) / F.sum("wt")).alias("y"), F.count("*").alias("n"))
+
+
+# --- joins --------------------------------------------------------------------------------------------------------
+
+_OVER = sql("dense") + ", u AS (SELECT DISTINCT patch, x, y, z FROM dense), s AS (SELECT patch, count(*) AS size FROM u GROUP BY patch), o AS (SELECT a.patch AS p, b.patch AS q, count(*) AS n FROM u a JOIN u b USING (x, y, z) WHERE a.patch < b.patch GROUP BY ALL)"
+
+
+def _overlaps(spark, d):
+    """Shared points of every two patches: the patches at a point meet there; only their pairs leave the map side."""
+    at = X.dense(spark, d).select("patch", "x", "y", "z").distinct().groupBy("x", "y", "z").agg(F.collect_set("patch").alias("ps"))  # a set of few patch numbers
+    pairs = F.flatten(F.transform("ps", lambda a: F.transform(F.filter("ps", lambda b: b > a), lambda b: F.struct(a.alias("p"), b.alias("q")))))
+    n = at.select(F.explode(pairs).alias("e")).groupBy("e.p", "e.q").agg(F.count("*").alias("n"))
+    size = X.dense(spark, d).select("patch", "x", "y", "z").distinct().groupBy("patch").agg(F.count("*").alias("size"))
+    rows = n.join(size.toDF("p", "sp"), "p").join(size.toDF("q", "sq"), "q")
+    return rows.withColumn("share", c("n") / F.least("sp", "sq"))
+
+
+@query(_OVER + ", t AS (SELECT p, q, n, n / least(a.size, b.size) AS share FROM o JOIN s a ON a.patch = p JOIN s b ON b.patch = q) SELECT p, q, n, round(share, 6) AS share, round(CASE WHEN share >= 0.05 AND n > 1 THEN pow((share - 0.05) / 0.95, 2) * (ln(ln(n) + 1) + 1) ELSE -1.0 END, 6) AS score FROM t")
+def exact_point_overlap_score(spark, d):
+    return _overlaps(spark, d).select("p", "q", "n", r6(c("share")).alias("share"), r6(S.overlap_score(c("share"), c("n"), 0.05)).alias("score"))
+
+
+@query(_OVER + ", t AS (SELECT p, q, n FROM o UNION ALL SELECT q, p, n FROM o) SELECT p, q AS best, n FROM t QUALIFY row_number() OVER (PARTITION BY p ORDER BY n DESC, q) = 1")
+def neighbour_block_best(spark, d):
+    o = _overlaps(spark, d).select("p", "q", "n")
+    both = o.union(o.select("q", "p", "n"))
+    return both.groupBy("p").agg(F.max_by(F.struct("q", "n"), F.struct("n", -c("q"))).alias("b")).select("p", c("b.q").alias("best"), "b.n")
+
+
+@query(sql("points") + ", m AS (SELECT lab, avg(sqrt(x * x + z * z)) AS r FROM points GROUP BY lab), t AS (SELECT a.lab AS p, b.lab AS q, b.r - a.r AS gap FROM m a JOIN m b ON a.lab <> b.lab) SELECT p, gap > 0 AS outward, arg_min(q, (abs(gap), q)) AS best, round(min(abs(gap)), 6) AS gap FROM t GROUP BY ALL")
+def same_block_best_switch(spark, d):
+    r = X.points(spark, d).groupBy("lab").agg(F.avg(S.norm(c("x"), c("z"))).alias("r"))
+    w = W.orderBy("r", "lab")  # one row per patch
+    near = r.select(c("lab").alias("p"), F.lag("lab").over(w).alias("l"), (c("r") - F.lag("r").over(w)).alias("lg"), F.lead("lab").over(w).alias("n"), (F.lead("r").over(w) - c("r")).alias("ng"))
+    rows = near.select("p", F.explode(F.array(F.struct(F.lit(False).alias("outward"), c("l").alias("best"), c("lg").alias("gap")), F.struct(F.lit(True).alias("outward"), c("n").alias("best"), c("ng").alias("gap")))).alias("s"))
+    return rows.where("s.best IS NOT NULL").select("p", "s.outward", "s.best", r6(c("s.gap")).alias("gap"))
+
+
+_NEAR = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
+
+
+@query(sql("points") + f" SELECT DISTINCT a.pid FROM points a JOIN points b ON a.pid <> b.pid AND {_NEAR} <= 8 AND a.lab > b.lab")
+def radius_conflict_filter(spark, d):
+    p = X.points(spark, d).select("pid", "x", "y", "z", "lab")
+    return spatial.radius_join(p, p, 8.0).where("a_lab > b_lab").select(c("a_pid").alias("pid")).distinct()
+
+
+@query(sql("points") + f" SELECT a.pid, arg_min(b.lab, ({_NEAR}, b.pid)) AS lab, round(min({_NEAR}), 6) AS d FROM points a JOIN points b ON a.pid % 2 = 0 AND b.pid % 2 = 1 AND {_NEAR} <= 15 GROUP BY a.pid")
+def nearest_neighbour_label(spark, d):
+    p = X.points(spark, d).select("pid", "x", "y", "z", "lab")
+    return spatial.nearest(p.where("pid % 2 = 0"), p.where("pid % 2 = 1"), 15.0, "pid").select(c("a_pid").alias("pid"), c("b_lab").alias("lab"), r6(c("d")).alias("d"))
+
+
+@query(sql("points") + f" SELECT a.pid, b.pid AS other, row_number() OVER (PARTITION BY a.pid ORDER BY {_NEAR}, b.pid) AS rank FROM points a JOIN points b ON a.pid <> b.pid AND a.pid % 10 = 0 AND {_NEAR} <= 20 QUALIFY rank <= 5")
+def knn_topk(spark, d):
+    p = X.points(spark, d).select("pid", "x", "y", "z")
+    pairs = spatial.radius_join(p.where("pid % 10 = 0"), p, 20.0).where("a_pid <> b_pid")
+    w = W.partitionBy("a_pid").orderBy("d", "b_pid")
+    return pairs.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select(c("a_pid").alias("pid"), c("b_pid").alias("other"), "rank")
+
+
+@query(sql("points") + " SELECT a.pid, count(*) AS n FROM points a JOIN points b ON a.pid <> b.pid AND abs(a.x - b.x) <= 0.5 GROUP BY a.pid")
+def winding_band_join(spark, d):
+    p = X.points(spark, d).select("pid", "x")
+    return spatial.band_join(p, p, "x", 0.5).where("a_pid <> b_pid").groupBy(c("a_pid").alias("pid")).agg(F.count("*").alias("n"))
+
+
+@query(sql("nodes") + " SELECT n.id, n.f, g.gt FROM nodes n LEFT JOIN (SELECT l_partkey AS id, CAST(max(l_linenumber) AS DOUBLE) * 360 AS gt FROM lineitem WHERE l_discount > 0.05 GROUP BY 1) g USING (id)")
+def ground_truth_left_join(spark, d):
+    gt = table(spark, d, "lineitem").where("l_discount > 0.05").groupBy(c("l_partkey").alias("id")).agg((F.max("l_linenumber").cast("double") * 360).alias("gt"))
+    return X.nodes(spark, d).join(gt, "id", "left").select("id", "f", "gt")
+
+
+# --- sequences ----------------------------------------------------------------------------------------------------
+
+
+@query("WITH e AS (SELECT user_id, value, CASE WHEN value - lag(value) OVER (PARTITION BY user_id ORDER BY value) > 2 THEN 1 ELSE 0 END AS new FROM events), g AS (SELECT user_id, value, sum(new) OVER (PARTITION BY user_id ORDER BY value) AS c FROM e), s AS (SELECT user_id, c, count(*) AS n, avg(value) AS mean FROM g GROUP BY ALL) SELECT user_id, n, round(mean, 6) + 0.0 AS mean FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, c) = 1")
+def gap_cluster_offset(spark, d):
+    return sequences.largest_cluster_mean(table(spark, d, "events"), ["user_id"], "value", 2.0).select("user_id", "n", r6(c("mean")).alias("mean"))
+
+
+@query("WITH e AS (SELECT event_type, value - 0.01 AS lo, value + 0.01 AS hi FROM events), b AS (SELECT *, max(hi) OVER (PARTITION BY event_type ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM e), g AS (SELECT *, sum(CASE WHEN lo > m THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS c FROM b) SELECT event_type, round(min(lo), 6) + 0.0 AS lo, round(max(hi), 6) + 0.0 AS hi, count(*) AS n FROM g GROUP BY event_type, c")
+def merge_intervals(spark, d):
+    e = table(spark, d, "events").select("event_type", (c("value") - 0.01).alias("lo"), (c("value") + 0.01).alias("hi"))
+    return sequences.merge_intervals(e, ["event_type"], "lo", "hi").select("event_type", r6(c("lo")).alias("lo"), r6(c("hi")).alias("hi"), "n")
+
+
+@query(sql("points") + ", g AS (SELECT pid, lab, x, CASE WHEN x - lag(x) OVER (PARTITION BY lab ORDER BY x) > 1.5 THEN 1 ELSE 0 END AS new FROM points) SELECT pid, lab, CAST(sum(new) OVER (PARTITION BY lab ORDER BY x) AS BIGINT) AS cluster FROM g")
+def single_linkage_1d(spark, d):
+    return sequences.gap_clusters(X.points(spark, d), ["lab"], "x", 1.5).select("pid", "lab", "cluster")
+
+
+@query(sql("grid") + ", w AS (SELECT i, j, t, last_value(t IGNORE NULLS) OVER b AS p, last_value(CASE WHEN t IS NOT NULL THEN j END IGNORE NULLS) OVER b AS pi, first_value(t IGNORE NULLS) OVER a AS n, first_value(CASE WHEN t IS NOT NULL THEN j END IGNORE NULLS) OVER a AS ni FROM grid WINDOW b AS (PARTITION BY i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY i ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT i, j, round(coalesce(t, p + (j - pi) / nullif(ni - pi, 0)::DOUBLE * (n - p), p, n), 6) + 0.0 AS t FROM w")
+def prev_next_fill(spark, d):
+    return sequences.prev_next_fill(X.grid(spark, d), ["i"], "j", "t").select("i", "j", r6(c("t")).alias("t"))
+
+
+@query(sql("grid") + " SELECT i, j, round(avg(t) OVER (PARTITION BY i ORDER BY j RANGE BETWEEN 7 PRECEDING AND 7 FOLLOWING), 6) + 0.0 AS mean FROM grid")
+def sliding_radius_mean(spark, d):
+    return sequences.sliding_mean(X.grid(spark, d), ["i"], "j", "t", 7).select("i", "j", r6(c("mean")).alias("mean"))
+
+
+@query(sql("grid") + ", g AS (SELECT * FROM grid WHERE t IS NOT NULL) SELECT g.i, g.j, round(g.t, 6) + 0.0 AS t, round(b.t, 6) + 0.0 AS top, round(a.t, 6) + 0.0 AS bottom, round(l.t, 6) + 0.0 AS left, round(r.t, 6) + 0.0 AS right FROM g LEFT JOIN g b ON b.i = g.i - 1 AND b.j = g.j LEFT JOIN g a ON a.i = g.i + 1 AND a.j = g.j LEFT JOIN g l ON l.i = g.i AND l.j = g.j - 1 LEFT JOIN g r ON r.i = g.i AND r.j = g.j + 1".replace("AS left", 'AS "left"').replace("AS right", 'AS "right"'))
+def grid_neighbours(spark, d):
+    g = mesh.grid_neighbours(X.grid(spark, d).where("t IS NOT NULL"), "i", "j", "t")
+    return g.select("i", "j", *[r6(c(n)).alias(n) for n in ("t", "top", "bottom", "left", "right")])
+
+
+@query(sql("dense") + ", s AS (SELECT patch, count(*) AS n FROM dense GROUP BY patch) SELECT patch, n, CAST(coalesce(sum(n) OVER (ORDER BY patch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM s")
+def prefix_offsets(spark, d):
+    return sequences.prefix_offsets(X.dense(spark, d).groupBy("patch").agg(F.count("*").alias("n")), "patch", "n")
+
+
+@query(sql("dense") + ", o AS (SELECT x, y, z, w, row_number() OVER (PARTITION BY patch ORDER BY x, y, z, w, pid, q) AS rank, patch FROM dense) SELECT patch, x, y, z, w, rank FROM o WHERE rank <= 100")
+def sort_points_topk(spark, d):
+    w = W.partitionBy("patch").orderBy("x", "y", "z", "w", "pid", "q")
+    return X.dense(spark, d).withColumn("rank", F.row_number().over(w)).where("rank <= 100").select("patch", "x", "y", "z", "w", "rank")
+
+
+# --- graph --------------------------------------------------------------------------------------------------------
+
+
+def _mixed_edges(spark, d):
+    """Edges of single line items, every other one given from its larger end."""
+    e = table(spark, d, "lineitem").select(c("l_partkey").alias("src"), (c("l_suppkey") + 1000000).alias("dst"), (c("l_linenumber") % 2 * 360.0).alias("k"), c("l_quantity").alias("certainty"), (c("l_returnflag") == "R").alias("same_block"))
+    flip = c("k") > 0
+    return e.select(F.when(flip, c("dst")).otherwise(c("src")).alias("src"), F.when(flip, c("src")).otherwise(c("dst")).alias("dst"), "k", "certainty", "same_block")
+
+
+@query("SELECT l_partkey AS src, l_suppkey + 1000000 AS dst, l_linenumber % 2 * -360.0::DOUBLE + 0.0 AS k, sum(l_quantity) AS certainty, bool_and(l_returnflag = 'R') AS same_block FROM lineitem GROUP BY ALL")
+def edge_canonical_sum(spark, d):
+    return graph.accumulate(_mixed_edges(spark, d)).withColumn("k", c("k") + 0.0)
+
+
+@query(sql("edges") + ", s AS (SELECT sum(certainty) FILTER (NOT same_block) / sum(certainty) FILTER (same_block) AS r FROM edges) SELECT src, dst, round(CASE WHEN same_block THEN certainty * r ELSE certainty END, 6) AS certainty FROM edges, s")
+def edge_class_rescale(spark, d):
+    return graph.rescale_classes(X.edges(spark, d)).select("src", "dst", r6(c("certainty")).alias("certainty"))
+
+
+@query(sql("nodes", "edges") + ", k AS (SELECT id FROM nodes WHERE z BETWEEN 20 AND 120) SELECT src, dst, round(certainty, 6) AS certainty FROM edges WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)")
+def subgraph_induced(spark, d):
+    return graph.induced(X.edges(spark, d), X.nodes(spark, d).where("z BETWEEN 20 AND 120")).select("src", "dst", r6(c("certainty")).alias("certainty"))
+
+
+@query(sql("edges") + " SELECT src, dst, CASE WHEN same_block THEN -k ELSE k END + 0.0 AS k FROM edges")
+def flip_direction(spark, d):
+    return graph.flip_direction(X.edges(spark, d)).select("src", "dst", (c("k") + 0.0).alias("k"))
+
+
+_STRONG = "certainty > 0.105 AND src % 3 = 0"
+_REACH = ", b AS (SELECT src AS a, dst AS b FROM edges WHERE " + _STRONG + " UNION SELECT dst, src FROM edges WHERE " + _STRONG + ")"
+
+
+@query(sql("nodes", "edges", recursive=True) + _REACH + ", r AS (SELECT id, id AS c FROM nodes UNION SELECT b.b, r.c FROM r JOIN b ON b.a = r.id AND b.b > r.c) SELECT id, min(c) AS component FROM r GROUP BY id")
+def connected_components(spark, d):
+    return graph.components(X.nodes(spark, d), X.edges(spark, d).where(_STRONG))
+
+
+@query(sql("nodes", "edges", recursive=True) + _REACH + ", r AS (SELECT id, id AS c FROM nodes UNION SELECT b.b, r.c FROM r JOIN b ON b.a = r.id AND b.b > r.c), l AS (SELECT id, min(c) AS component FROM r GROUP BY id) SELECT id FROM l WHERE component = (SELECT component FROM l GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)")
+def largest_component(spark, d):
+    comp = graph.components(X.nodes(spark, d), X.edges(spark, d).where(_STRONG))
+    best = comp.groupBy("component").agg(F.count("*").alias("n")).agg(F.max_by("component", F.struct("n", -c("component"))).alias("component"))
+    return comp.join(F.broadcast(best), "component", "left_semi").select("id")  # one row
+
+
+@query(sql("edges", recursive=True) + ", b AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), r AS (SELECT 1::BIGINT AS id, 0 AS depth UNION SELECT b.b, depth + 1 FROM r JOIN b ON b.a = r.id WHERE depth < 4) SELECT id, min(depth) AS depth FROM r GROUP BY id")
+def bfs_depth(spark, d):
+    return graph.bfs_depth(X.nodes(spark, d), X.edges(spark, d), 1, 4)
+
+
+@query(sql("edges") + ", b AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), two AS (SELECT x.a, y.b FROM b x JOIN b y ON y.a = x.b WHERE x.a >= 1000000 UNION SELECT a, b FROM b WHERE a >= 1000000) SELECT a AS id, count(*) AS n FROM two GROUP BY a")
+def khop_count(spark, d):
+    b = graph.both_ways(X.edges(spark, d).select("src", "dst", "k")).select("src", "dst").distinct()
+    one = b.where("src >= 1000000")
+    two = one.toDF("id", "m").join(b.toDF("m", "dst"), "m").select("id", "dst")
+    return two.union(one).distinct().groupBy("id").agg(F.count("*").alias("n"))
+
+
+_BOTH = ", b AS (SELECT src, dst, k, certainty FROM edges UNION ALL SELECT dst, src, -k, certainty FROM edges)"
+_STEP = "SELECT n.id, CASE WHEN count(b.src) = 0 THEN any_value(n.f) ELSE (sum(b.certainty * (o.f - b.k)) + 0.15 * any_value(n.f)) / (sum(b.certainty) + 0.15) END AS f FROM {0} n LEFT JOIN b ON b.src = n.id LEFT JOIN {0} o ON o.id = b.dst GROUP BY n.id"
+
+
+@query(sql("nodes", "edges") + _BOTH + ", s AS (" + _STEP.format("nodes") + ") SELECT id, round(f, 6) + 0.0 AS f FROM s")
+def jacobi_step_1(spark, d):
+    return graph.jacobi(X.nodes(spark, d), X.edges(spark, d)).select("id", r6(c("f")).alias("f"))
+
+
+@query(sql("nodes", "edges") + _BOTH + ", s AS (" + _STEP.format("nodes") + "), s2 AS (" + _STEP.format("s") + ") SELECT id, round(f, 6) + 0.0 AS f FROM s2")
+def jacobi_step_2(spark, d):
+    return graph.jacobi(X.nodes(spark, d), X.edges(spark, d), rounds=2).select("id", r6(c("f")).alias("f"))
+
+
+_ERR = sql("nodes", "edges") + ", e AS (SELECT e.*, y.f * 3 - x.f * 3 - e.k AS diff FROM edges e JOIN nodes x ON x.id = src JOIN nodes y ON y.id = dst)"
+
+
+def _errors(spark, d):
+    """Errors of edges against a stretched assignment, so that some are whole turns off."""
+    n = X.nodes(spark, d).withColumn("f", c("f") * 3)
+    return n, X.edges(spark, d)
+
+
+@query(_ERR + ", t AS (SELECT src AS id, certainty, round_even(diff / 360, 0) AS turn FROM e UNION ALL SELECT dst, certainty, -round_even(diff / 360, 0) FROM e) SELECT id, round_even(round(sum(certainty * turn) / sum(certainty), 9), 0) + 0.0 AS turns FROM t GROUP BY id")
+def laplacian_round_step(spark, d):
+    return graph.laplacian_turns(*_errors(spark, d)).select("id", (c("turns") + 0.0).alias("turns"))
+
+
+@query(_ERR + " SELECT src, dst, round(diff, 6) + 0.0 AS diff FROM e WHERE same_block OR abs(diff) <= 180")
+def prune_edges(spark, d):
+    return graph.edge_errors(*_errors(spark, d)).where("same_block OR abs(diff) <= 180").select("src", "dst", r6(c("diff")).alias("diff"))
+
+
+@query(_ERR + " SELECT same_block, count(*) AS n, round(sum(certainty) FILTER (abs(diff) < 1), 6) AS matched, round(sum(certainty * exp(-abs(diff) / 360)), 6) AS approx FROM e GROUP BY same_block")
+def exact_matching_score(spark, d):
+    e = graph.edge_errors(*_errors(spark, d))
+    return e.groupBy("same_block").agg(F.count("*").alias("n"), r6(F.sum(F.when(F.abs("diff") < 1, c("certainty")))).alias("matched"), r6(F.sum(c("certainty") * F.exp(-F.abs("diff") / 360))).alias("approx"))
+
+
+@query(_ERR + ", p AS (SELECT unnest(range(0, 101, 25)) AS p) SELECT CAST(p AS BIGINT) AS p, round(quantile_cont(abs(diff), 0.0), 6) AS v FROM e, p WHERE p = 0 GROUP BY p UNION ALL SELECT 25, round(quantile_cont(abs(diff), 0.25), 6) FROM e UNION ALL SELECT 50, round(quantile_cont(abs(diff), 0.5), 6) FROM e UNION ALL SELECT 75, round(quantile_cont(abs(diff), 0.75), 6) FROM e UNION ALL SELECT 100, round(quantile_cont(abs(diff), 1.0), 6) FROM e")
+def error_percentiles(spark, d):
+    e = graph.edge_errors(*_errors(spark, d)).agg(F.percentile(F.abs("diff"), [0.0, 0.25, 0.5, 0.75, 1.0]).alias("v"))
+    return e.select(F.posexplode("v").alias("p", "v")).select((c("p") * 25).cast("long").alias("p"), r6(c("v")).alias("v"))
+
+
+@query(sql("nodes") + ", r AS (SELECT f, row_number() OVER (ORDER BY f, id) - 1 AS i, count(*) OVER () AS n FROM nodes) SELECT CAST(4 * i // n AS BIGINT) AS quarter, f FROM r WHERE i = n // 4 OR i = n // 2 OR i = 3 * n // 4")
+def index_quartiles(spark, d):
+    """Order statistics by index: the nodes are counted per value, so the ordered table has one row per distinct value."""
+    per = X.nodes(spark, d).groupBy("f").agg(F.count("*").alias("m"))
+    run = per.withColumn("hi", F.sum("m").over(W.orderBy("f"))).withColumn("n", F.sum("m").over(W.partitionBy()))
+    at = F.explode(F.array(F.floor(c("n") / 4), F.floor(c("n") / 2), F.floor(3 * c("n") / 4)))
+    return run.withColumn("i", at).where("i < hi AND i >= hi - m").select(F.floor(4 * c("i") / c("n")).cast("long").alias("quarter"), "f")
+
+
+@query(_ERR + ", t AS (SELECT src AS id, abs(diff) AS a FROM e UNION ALL SELECT dst, abs(diff) FROM e), s AS (SELECT id, sum(a) AS err FROM t GROUP BY id) SELECT id, round(err, 6) AS err FROM s WHERE err <= (SELECT quantile_cont(err, 0.5) FROM s)")
+def node_error_quantile_filter(spark, d):
+    e = graph.edge_errors(*_errors(spark, d)).withColumn("a", F.abs("diff"))
+    per = e.select(c("src").alias("id"), "a").union(e.select("dst", "a")).groupBy("id").agg(F.sum("a").alias("err"))
+    limit = per.agg(F.percentile("err", 0.5).alias("q"))
+    return per.join(F.broadcast(limit), c("err") <= c("q")).select("id", r6(c("err")).alias("err"))  # one row
+
+
+@query()
+def mst_weight(spark, d):
+    e = X.edges(spark, d).where("src % 5 = 0").withColumn("cost", -c("certainty"))
+    return graph.spanning_forest(X.nodes(spark, d), e).agg(F.count("*").alias("n"), r6(F.sum("cost")).alias("cost"))
+
+
+# --- mesh ---------------------------------------------------------------------------------------------------------
+
+
+def _triangles(spark, d):
+    return mesh.quad_mesh(X.lattice(spark, d), "i", "j", 20)
+
+
+@query(sql("lattice", "tri") + " SELECT CAST(tid AS BIGINT) AS tid, CAST(v0 AS BIGINT) AS v0, CAST(v1 AS BIGINT) AS v1, CAST(v2 AS BIGINT) AS v2 FROM tri")
+def quad_mesh(spark, d):
+    return _triangles(spark, d).select(*[c(n).cast("long").alias(n) for n in ("tid", "v0", "v1", "v2")])
+
+
+_TRI3 = sql("lattice", "tri") + ", t AS (SELECT tid, a.x AS ax, a.y AS ay, a.z AS az, a.u AS au, a.v AS av, b.x AS bx, b.y AS by_, b.z AS bz, b.u AS bu, b.v AS bv, e.x AS cx, e.y AS cy, e.z AS cz, e.u AS cu, e.v AS cv FROM tri JOIN lattice a ON a.vid = v0 JOIN lattice b ON b.vid = v1 JOIN lattice e ON e.vid = v2), n AS (SELECT *, (by_ - ay) * (cz - az) - (bz - az) * (cy - ay) AS nx, (bz - az) * (cx - ax) - (bx - ax) * (cz - az) AS ny, (bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) AS nz FROM t)"
+
+
+@query(_TRI3 + " SELECT CAST(tid AS BIGINT) AS tid, round(0.5 * sqrt(nx * nx + ny * ny + nz * nz), 6) AS area, round(sqrt(greatest((bx - ax) ** 2 + (by_ - ay) ** 2 + (bz - az) ** 2, (cx - bx) ** 2 + (cy - by_) ** 2 + (cz - bz) ** 2, (ax - cx) ** 2 + (ay - cy) ** 2 + (az - cz) ** 2)), 6) AS side FROM n")
+def triangle_area_stats(spark, d):
+    t, v = _triangles(spark, d), X.lattice(spark, d)
+    return mesh.areas(t, v).join(mesh.longest_sides(t, v), "tid").select(c("tid").cast("long").alias("tid"), r6(c("area")).alias("area"), r6(c("side")).alias("side"))
+
+
+@query(_TRI3 + ", p AS (SELECT *, ((bu - au) * (cv - av) - (cu - au) * (bv - av)) / 2 AS a2 FROM n), g AS (SELECT *, " + ", ".join(f"(a{q} * (bv - cv) + b{q}{'_' if q == 'y' else ''} * (cv - av) + c{q} * (av - bv)) / (2 * a2) AS s{q}, (a{q} * (cu - bu) + b{q}{'_' if q == 'y' else ''} * (au - cu) + c{q} * (bu - au)) / (2 * a2) AS t{q}" for q in "xyz") + " FROM p), h AS (SELECT *, sx * sx + sy * sy + sz * sz AS aa, sx * tx + sy * ty + sz * tz AS bb, tx * tx + ty * ty + tz * tz AS cc FROM g) SELECT CAST(tid AS BIGINT) AS tid, round(sqrt((aa + cc) / 2), 6) AS l2, round(sqrt((aa + cc + sqrt((aa - cc) * (aa - cc) + 4 * bb * bb)) / 2), 6) AS linf, round(0.5 * sqrt(nx * nx + ny * ny + nz * nz), 6) AS area3, round(abs(a2), 6) AS area2 FROM h")
+def stretch_metrics(spark, d):
+    s = mesh.stretch(_triangles(spark, d), X.lattice(spark, d))
+    return s.select(c("tid").cast("long").alias("tid"), *[r6(c(n)).alias(n) for n in ("l2", "linf", "area3", "area2")])
+
+
+_EDGE = ", e AS (SELECT tid, least(v0, v1) AS a, greatest(v0, v1) AS b FROM tri UNION ALL SELECT tid, least(v1, v2), greatest(v1, v2) FROM tri UNION ALL SELECT tid, least(v2, v0), greatest(v2, v0) FROM tri)"
+
+
+@query(sql("lattice", "tri") + _EDGE + " SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM e GROUP BY ALL HAVING count(*) = 1")
+def boundary_edges(spark, d):
+    return mesh.boundary_edges(_triangles(spark, d)).select(c("a").cast("long").alias("a"), c("b").cast("long").alias("b"))
+
+
+def _spoiled(spark, d):
+    t = _triangles(spark, d)
+    return t.unionByName(t.where("tid % 37 = 0").withColumn("tid", c("tid") + 10000).withColumn("v2", (c("v2") + 41) % 400))
+
+
+@query(sql("lattice", "tri").replace("tri AS (", "tri0 AS (") + ", tri AS (SELECT * FROM tri0 UNION ALL SELECT tid + 10000, v0, v1, (v2 + 41) % 400 FROM tri0 WHERE tid % 37 = 0)" + _EDGE + ", odd AS (SELECT a, b FROM e GROUP BY ALL HAVING count(*) > 2) SELECT CAST(tid AS BIGINT) AS tid FROM tri WHERE tid NOT IN (SELECT tid FROM e JOIN odd USING (a, b))")
+def non_manifold_edges(spark, d):
+    return mesh.without_non_manifold(_spoiled(spark, d)).select(c("tid").cast("long").alias("tid"))
+
+
+@query(_TRI3 + ", s AS (SELECT tid, unnest(list_distinct([floor(au / 0.13), floor(bu / 0.13), floor(cu / 0.13)])) AS strip FROM t) SELECT CAST(strip AS BIGINT) AS strip, count(*) AS n FROM s GROUP BY strip")
+def tumbling_strips(spark, d):
+    rows = mesh.corners(_triangles(spark, d), X.lattice(spark, d), ["u"])
+    return sequences.tumbling_strips(rows, ["c0_u", "c1_u", "c2_u"], 0.13).groupBy("strip").agg(F.count("*").alias("n"))
+
+
+# --- evaluation ---------------------------------------------------------------------------------------------------
+
+
+def _rated(spark, d):
+    return X.points(spark, d).select("pid", c("lab").cast("long").alias("pred"), (c("pid") % 10).alias("gt"), "conf")
+
+
+_RATED = sql("points") + ", r AS (SELECT pid, CAST(lab AS BIGINT) AS pred, pid % 10 AS gt, conf FROM points)"
+
+
+@query(_RATED + " SELECT pred, gt, count(*) AS n FROM r GROUP BY ALL")
+def confusion_matrix(spark, d):
+    return evaluate.confusion(_rated(spark, d), "pred", "gt")
+
+
+@query(_RATED + ", k AS (SELECT pred AS cls FROM r UNION SELECT gt FROM r) SELECT cls, round(count(*) FILTER (pred = cls AND gt = cls) / count(*) FILTER (pred = cls OR gt = cls), 6) + 0.0 AS iou FROM k, r GROUP BY cls")
+def iou_confusion(spark, d):
+    return evaluate.iou(_rated(spark, d), "pred", "gt").select("cls", r6(c("iou")).alias("iou"))
+
+
+@query(_RATED + ", o AS (SELECT *, CAST(pred = gt AS INT) AS h, sum(CAST(pred = gt AS INT)) OVER w AS tp, row_number() OVER w AS n, sum(CAST(pred = gt AS INT)) OVER (PARTITION BY pred) AS total FROM r WINDOW w AS (PARTITION BY pred ORDER BY conf DESC, pid)), b AS (SELECT *, max(tp / n) OVER (PARTITION BY pred ORDER BY conf DESC, pid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS best FROM o) SELECT pred, round(sum(h * best) / nullif(max(total), 0), 6) AS ap FROM b GROUP BY pred")
+def instance_ap(spark, d):
+    return evaluate.average_precision(_rated(spark, d).withColumn("hit", c("pred") == c("gt")), "pred", "conf", "hit", "pid").select("pred", r6(c("ap")).alias("ap"))
+
+
+@query(_RATED + ", m AS (SELECT pred, CAST(round((gt - pred) / 3.0) AS BIGINT) AS shift, count(*) AS n FROM r GROUP BY ALL) SELECT pred, shift * 360 AS shift FROM m QUALIFY row_number() OVER (PARTITION BY pred ORDER BY n DESC, shift) = 1")
+def winding_mode(spark, d):
+    m = _rated(spark, d).groupBy("pred", F.round((c("gt") - c("pred")) / 3.0).cast("long").alias("shift")).agg(F.count("*").alias("n"))
+    return m.groupBy("pred").agg((F.max_by("shift", F.struct("n", -c("shift"))) * 360).alias("shift"))
+
+
+@query(sql("points") + ", a AS (SELECT unnest(range(0, 360, 15)) AS deg), t AS (SELECT deg, corr(cos(radians(deg)) * x + sin(radians(deg)) * z, conf) AS r FROM points, a GROUP BY deg) SELECT CAST(deg AS BIGINT) AS deg, round(r, 6) + 0.0 AS r FROM t")
+def rotation_correlations(spark, d):
+    """All rotations in one pass over the points: a correlation needs sums only."""
+    p = X.points(spark, d)
+    turned = [F.corr(S.rotate_about_y(c("x"), c("y"), c("z"), F.radians(F.lit(float(a))))[0], c("conf")).alias(f"r{a}") for a in range(0, 360, 15)]
+    rows = p.agg(*turned).select(F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("deg"), r6(c(f"r{a}")).alias("r")) for a in range(0, 360, 15)])).alias("s"))
+    return rows.select("s.deg", "s.r")
+
+
+@query()
+def nms_greedy(spark, d):
+    p = X.points(spark, d).select("pid", "lab", "conf", (c("x") - 3).alias("lo"), (c("x") + 3).alias("hi"))
+    return evaluate.nms_1d(p, "lab", "lo", "hi", "conf", "pid", 0.5).select("pid", "lab")
+
+
+# --- kernels ------------------------------------------------------------------------------------------------------
+
+
+@query()
+def surface_fit_residuals(spark, d):
+    p = X.points(spark, d)
+    co = surface.trimmed_fit(p, c("x") / 100, c("y") / 100, c("z") / 100, 2, 0.001)
+    return p.select("pid", r6(c("z") / 100 - S.polynomial(c("x") / 100, c("y") / 100, co, 2)).alias("residual"))
+
+
+def _voxels(spark, d):
+    return X.dense(spark, d).groupBy("x", "y", "z").agg(F.count("*").cast("double").alias("v"))
+
+
+_VOX = sql("dense") + ", v AS (SELECT x, y, z, CAST(count(*) AS DOUBLE) AS v FROM dense GROUP BY ALL), o AS (SELECT a, b, e, CASE a WHEN 0 THEN 2 ELSE 1 END AS sa, CASE b WHEN 0 THEN 2 ELSE 1 END AS sb, CASE e WHEN 0 THEN 2 ELSE 1 END AS se FROM range(-1, 2) t1(a), range(-1, 2) t2(b), range(-1, 2) t3(e))"
+
+
+@query(_VOX + " SELECT CAST(x - a AS BIGINT) AS x, y - b AS y, z - e AS z, sum(v * a * sb * se) + 0.0 AS gx, sum(v * sa * b * se) + 0.0 AS gy, sum(v * sa * sb * e) + 0.0 AS gz FROM v, o GROUP BY ALL")
+def stencil_gradient(spark, d):
+    return volume.sobel(_voxels(spark, d)).select(c("x").cast("long").alias("x"), "y", "z", *[(c(n) + 0.0).alias(n) for n in ("gx", "gy", "gz")])
+
+
+@query(_VOX + " SELECT CAST(x - a AS BIGINT) AS x, y - b AS y, z - e AS z, round(sum(v) / 27, 6) AS mean FROM v, o GROUP BY ALL")
+def box_blur(spark, d):
+    return volume.box_mean(_voxels(spark, d)).select(c("x").cast("long").alias("x"), "y", "z", r6(c("mean")).alias("mean"))
+
+
+# --- events -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_type, CAST(epoch(ts) AS BIGINT) // 3600 AS hour, count(*) AS n, round(sum(value), 4) + 0.0 AS v FROM events GROUP BY ALL")
+def event_tumbling(spark, d):
+    e = table(spark, d, "events").groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), (F.round(F.sum("value"), 4) + 0.0).alias("v"))
+    return e.select("event_type", F.floor(F.unix_timestamp("w.start") / 3600).alias("hour"), "n", "v")
+
+
+@query("WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS c FROM s) SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n FROM g GROUP BY user_id, c")
+def event_session(spark, d):
+    e = table(spark, d, "events").groupBy("user_id", F.session_window("ts", "2 hours").alias("w")).agg(F.count("*").alias("n"))
+    return e.select("user_id", F.unix_timestamp("w.start").alias("start"), "n")
