@@ -12,6 +12,7 @@ from windlass.functions import scalars as S
 from windlass.functions.scalars import r6
 from windlass.operators import evaluate, graph, mesh, sequences, spatial, surface, volume
 from windlass.sources.shared import table
+from windlass.streaming import incremental
 
 from . import fixtures as X
 from .fixtures import sql
@@ -281,9 +282,9 @@ def single_linkage_1d(spark, d):
     return sequences.gap_clusters(X.points(spark, d), ["lab"], "x", 1.5).select("pid", "lab", "cluster")
 
 
-@query(sql("grid") + ", w AS (SELECT i, j, t, last_value(t IGNORE NULLS) OVER b AS p, last_value(CASE WHEN t IS NOT NULL THEN j END IGNORE NULLS) OVER b AS pi, first_value(t IGNORE NULLS) OVER a AS n, first_value(CASE WHEN t IS NOT NULL THEN j END IGNORE NULLS) OVER a AS ni FROM grid WINDOW b AS (PARTITION BY i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY i ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT i, j, round(coalesce(t, p + (j - pi) / nullif(ni - pi, 0)::DOUBLE * (n - p), p, n), 6) + 0.0 AS t FROM w")
+@query(sql("grid") + ", w AS (SELECT i, j, t, last_value(t IGNORE NULLS) OVER b AS p, last_value(CASE WHEN t IS NOT NULL THEN j END IGNORE NULLS) OVER b AS pi, first_value(t IGNORE NULLS) OVER a AS n, first_value(CASE WHEN t IS NOT NULL THEN j END IGNORE NULLS) OVER a AS ni FROM grid WINDOW b AS (PARTITION BY i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY i ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT i, j, round(coalesce(t, p + (j - pi) / nullif(ni - pi, 0)::DOUBLE * (n - p), p, n), 9) + 0.0 AS t FROM w")
 def prev_next_fill(spark, d):
-    return sequences.prev_next_fill(X.grid(spark, d), ["i"], "j", "t").select("i", "j", r6(c("t")).alias("t"))
+    return sequences.prev_next_fill(X.grid(spark, d), ["i"], "j", "t").select("i", "j", (F.round("t", 9) + 0.0).alias("t"))
 
 
 @query(sql("grid") + " SELECT i, j, round(avg(t) OVER (PARTITION BY i ORDER BY j RANGE BETWEEN 7 PRECEDING AND 7 FOLLOWING), 6) + 0.0 AS mean FROM grid")
@@ -562,7 +563,7 @@ def box_blur(spark, d):
 # --- events -------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT event_type, CAST(epoch(ts) AS BIGINT) // 3600 AS hour, count(*) AS n, round(sum(value), 4) + 0.0 AS v FROM events GROUP BY ALL")
+@query("SELECT event_type, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, count(*) AS n, round(sum(value), 4) + 0.0 AS v FROM events GROUP BY ALL")
 def event_tumbling(spark, d):
     e = table(spark, d, "events").groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), (F.round(F.sum("value"), 4) + 0.0).alias("v"))
     return e.select("event_type", F.floor(F.unix_timestamp("w.start") / 3600).alias("hour"), "n", "v")
@@ -572,3 +573,33 @@ def event_tumbling(spark, d):
 def event_session(spark, d):
     e = table(spark, d, "events").groupBy("user_id", F.session_window("ts", "2 hours").alias("w")).agg(F.count("*").alias("n"))
     return e.select("user_id", F.unix_timestamp("w.start").alias("start"), "n")
+
+
+@query("SELECT user_id % 16 AS bx, CAST(floor(epoch(ts) / 86400) AS BIGINT) % 8 AS by_, count(*) AS n, round(sum(value), 4) + 0.0 AS v FROM events GROUP BY ALL")
+def incremental_blocks(spark, d):
+    """The events as a file stream, folded into per-block sums batch by batch; equal to the same sums over the whole table."""
+    return incremental.ingest_blocks(spark, f"{d}/events.parquet")
+
+
+@query(sql("nodes", "edges") + ", l AS (SELECT * FROM edges WHERE src % 7 = 0), k AS (SELECT id FROM nodes WHERE id NOT IN (SELECT src FROM l UNION SELECT dst FROM l)) SELECT id FROM k")
+def nodes_without_edges(spark, d):
+    e = X.edges(spark, d).where("src % 7 = 0")
+    used = e.select(c("src").alias("id")).union(e.select("dst"))
+    return X.nodes(spark, d).select("id").join(used, "id", "left_anti")
+
+
+@query(sql("edges") + " SELECT CAST(floor(least(certainty, 0.11) / 0.0053) AS BIGINT) AS bucket, same_block, count(*) AS n FROM edges GROUP BY ALL")
+def certainty_histogram(spark, d):
+    return X.edges(spark, d).groupBy(F.floor(F.least("certainty", F.lit(0.11)) / 0.0053).alias("bucket"), "same_block").agg(F.count("*").alias("n"))
+
+
+@query(sql("points") + " SELECT lab, count(*) AS n, round(min(x), 6) AS lo, round(max(x), 6) AS hi, round(max(x) - min(x), 6) AS span FROM points GROUP BY lab")
+def winding_ranges(spark, d):
+    return X.points(spark, d).groupBy("lab").agg(F.count("*").alias("n"), r6(F.min("x")).alias("lo"), r6(F.max("x")).alias("hi"), r6(F.max("x") - F.min("x")).alias("span"))
+
+
+@query(sql("grid") + ", f AS (SELECT i, j, CASE WHEN t IS NULL THEN 0 ELSE 1 END AS ok FROM grid), s AS (SELECT i, j // 24 AS day, avg(ok) AS rate FROM f GROUP BY ALL) SELECT i, CAST(min(day) FILTER (rate > 0.1) AS BIGINT) AS first_day, CAST(max(day) FILTER (rate > 0.1) AS BIGINT) AS last_day, round(avg(rate), 6) AS rate FROM s GROUP BY i")
+def valid_windings(spark, d):
+    days = X.grid(spark, d).groupBy("i", F.floor(c("j") / 24).alias("day")).agg(F.avg(c("t").isNotNull().cast("int")).alias("rate"))
+    ok = F.when(c("rate") > 0.1, c("day"))
+    return days.groupBy("i").agg(F.min(ok).alias("first_day"), F.max(ok).alias("last_day"), r6(F.avg("rate")).alias("rate"))
