@@ -1,0 +1,386 @@
+"""The training-data operators against brute force, on small tables with nulls, ties, repeats and clashing columns."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+
+from windlass.llm import exact_dedup, html_blocks, html_extract, html_labelled, jaccard_join, lattice, license_scan, lm_scoring, mixing, pieces, quality, suffix_array, suffix_dedup, warc
+
+SCHEMA = "doc_id long, text string, source string, size int, kept string, h int, n int, rep int, bucket int, src string"
+rng = random.Random(7)
+WORDS = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(60)]
+
+
+def sentence(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+def documents():
+    base = sentence(80, 1)
+    near = base.split()
+    near[3] = "changed"
+    texts = [base, base, " ".join(near), None, "", "  \n\t", "one", "One", "one two", base.upper(), base.replace(" ", "\n"), base + " tail", sentence(300, 2), "x" * 400, "x" * 70, "aXb" * 60]
+    texts += [sentence(60, 10 + i) + " " + base[:200] + " " + sentence(30, 40 + i) for i in range(6)] + ["é" * 30 + base[:90], "▁ mark <0x0A> " + base[:40], "word " * 3000]
+    rows = [(i, t, ["a", "b", "c", None][i % 4], 1, "k", 2, 3, 4, 5, "s") for i, t in enumerate(texts)]
+    return [*rows, rows[0], (None, base, "a", 1, "k", 2, 3, 4, 5, "s"), (None, None, None, 1, "k", 2, 3, 4, 5, "s")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(documents(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows_with_id():
+    return [r for r in documents() if r[0] is not None]
+
+
+def test_warc_round_trip(spark):
+    html = ["<p>a</p>", "<p>b</p>", "<p>a</p>", None, "", "é" * 5000, "<p>a</p>"]
+    pages = spark.createDataFrame([(i, f"http://x/{i}\r\nEvil: 1" if i else None, h, "x") for i, h in enumerate(html)] + [(None, None, "<p>b</p>", "x")], "page_id long, url string, html string, refers_to string")
+    got = {r.page_id: r for r in warc.archive_pages(pages).collect()}
+    assert len(got) == 8
+    last = {h or "": max(i for i, x in enumerate(html) if (x or "") == (h or "")) for h in html}
+    for i, h in enumerate(html):
+        raw = (h or "").encode()
+        want = None if last[h or ""] == i else last[h or ""]
+        assert (got[i].payload_bytes, got[i].payload_digest, got[i].refers_to) == (len(raw), warc.sha1_base32(raw), want)
+        assert got[i].record_type == ("response" if want is None else "revisit")
+    folder, manifest = warc.write_archives(pages)
+    bodies = {r.page_id: r.html for r in warc.read_archives(folder, manifest).collect() if r.record_type == "response" and r.page_id is not None}
+    assert bodies == {i: h or "" for i, h in enumerate(html) if last[h or ""] == i}
+    assert {r.record_type for r in warc.archive_pages(pages, min_bytes=10**6).collect()} == {"response"}
+    assert warc.archive_pages(pages.limit(0)).count() == 0
+
+
+def test_lm_scores(docs, empty):
+    got = collections.defaultdict(list)
+    for r in lm_scoring.score_texts(docs).collect():
+        got[r.doc_id].append(r)
+    counts = collections.Counter()
+    for i, t, *_ in documents():
+        if not lm_scoring.held_out(i):
+            counts.update((t or "").encode().lower().split())
+            counts[None] += 1
+    n, v = sum(counts.values()), len(counts)
+    for i, t, *_ in documents():
+        tokens = [*(t or "").encode().lower().split(), None]
+        base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens)
+        r = next(x for x in got[i] if x.n_tokens == len(tokens))
+        assert (r.n_known, r.train_tokens, r.held_out) == (sum(counts[w] > 0 for w in tokens), n, zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0)
+        assert r.base_score == pytest.approx(base)
+        assert math.isfinite(r.score) and r.score < 0
+    assert lm_scoring.score_texts(empty).count() == 0
+
+
+def test_lattice_is_the_sum_over_segmentations():
+    words = [b"a", b"b", b"ab", b"ba", b"aba", b"bab"]
+    p = np.log(np.array([0.3, 0.25, 0.2, 0.1, 0.1, 0.05]))
+    vocabulary = lattice.Vocabulary(words, p)
+
+    def brute(s):
+        return 1.0 if not s else sum(math.exp(p[words.index(s[:k])]) * brute(s[k:]) for k in range(1, min(3, len(s)) + 1) if s[:k] in words)
+
+    strings = [b"a", b"abab", b"bbaab", b"ab" * 30]
+    got = lattice.marginals(vocabulary, strings)
+    for s, x in zip(strings[:3], got, strict=False):
+        assert math.exp(x) == pytest.approx(brute(s))
+    short = lattice.Lattice(vocabulary, [b"ab" * 10])
+    long = lattice.Lattice.__new__(lattice.Lattice)
+    long.vocabulary, long.rows, long.length, long.steps = vocabulary, 1, 20, []
+    long._one_by_one([b"ab" * 10])
+    assert long.forward()[-1] == pytest.approx(short.forward()[-1])
+    use = np.zeros(6)
+    lattice.Lattice(vocabulary, [b"aba"]).expected(np.array([2.0]), use)
+    assert (use * [1, 1, 2, 2, 3, 3]).sum() == pytest.approx(6.0)  # every byte is covered once in both copies
+
+
+def test_html_extraction(spark):
+    page = "<html><body><nav><ul><li><a href=/x>Home</a></li></ul></nav><article><h1>Some title here</h1><p>First &amp; only\n  text, with a<br>break. It goes on, and on.</p><script>bad()</script></article><footer>&copy; Someone</footer></body></html>"
+    pages = spark.createDataFrame([(1, "u", page, 0), (2, None, None, 0), (3, "v", "", 0), (4, "w", "<p", 0), (1, "u", page, 0)], "page_id long, url string, html string, n_chars int")
+    got = {r.page_id: r for r in html_extract.extract(pages).collect()}
+    assert got[1].text == "Some title here\nFirst & only text, with a break. It goes on, and on." and got[1].n_chars == len(got[1].text)
+    assert got[2].text == got[3].text == "" and html_extract.extract(pages).count() == 5
+    assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+def test_html_held_out_accuracy():
+    chain = html_extract.default_chain()
+    right = total = 0
+    for seed in range(50_000, 50_100):
+        page, labels = html_labelled.labelled_page(seed)
+        found = chain.decode([html_blocks.features_of(b) for b in html_blocks.blocks_of(page)])
+        right += sum(a == b for a, b in zip(found, labels, strict=True))
+        total += len(labels)
+    assert right / total > 0.97
+
+
+def test_viterbi_is_the_best_path():
+    chain = html_extract.Chain({"a": 1.3, "b": -0.7, "c": 0.2}, [[0.4, -0.9], [-0.6, 0.8]])
+    r = random.Random(2)
+    for _ in range(30):
+        feats = [[r.choice("abc")] for _ in range(r.randint(1, 7))]
+        score = lambda y: sum(chain.weights[f[0]] * v for f, v in zip(feats, y, strict=True)) + sum(chain.move[p][q] for p, q in zip(y, y[1:], strict=False))  # noqa: B023, E731
+        every = [[k >> i & 1 for i in range(len(feats))] for k in range(1 << len(feats))]
+        assert score(chain.decode(feats)) == pytest.approx(max(map(score, every)))
+        z = sum(math.exp(score(y)) for y in every)
+        assert chain.marginals(feats)[0][0] == pytest.approx(sum(math.exp(score(y)) for y in every if y[0]) / z)
+
+
+def shingles(text, k):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+
+
+def brute_components(rows, k, num, den):
+    sets = [(i, shingles(t, k)) for i, t, *_ in rows]
+    top = {i: i for i, _ in sets}
+
+    def root(x):
+        return x if top[x] == x else root(top[x])
+
+    for i, a in sets:
+        for j, b in sets:
+            if a and b and den * len(a & b) >= num * len(a | b):
+                x, y = sorted((root(i), root(j)))
+                top[y] = x
+    return {i: (len(s), root(i)) for i, s in sets}
+
+
+@pytest.mark.parametrize(("k", "num", "den"), [(3, 9, 10), (5, 8, 10)])
+def test_jaccard_components(docs, k, num, den):
+    want = brute_components(rows_with_id(), k, num, den)
+    got = jaccard_join.jaccard_components(docs, k, num, den).collect()
+    assert len(got) == len(documents())
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == want
+
+
+def test_jaccard_chain_of_near_copies(spark):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):  # a walk: neighbours link, ends do not; and copies around one base
+        if i < 60:
+            words = list(words)
+            words[r.randrange(120)] = f"z{i}"
+            rows.append((i, " ".join(words)))
+        else:
+            w = [f"b{j}" for j in range(150)]
+            for _ in range(r.randint(1, 4)):
+                w[r.randrange(150)] = f"q{r.randrange(40)}"
+            rows.append((i, " ".join(w)))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows, 3, 9, 10)
+
+
+def test_divide_skip_is_exact():
+    r = np.random.default_rng(4)
+    for _ in range(40):
+        q = np.unique(r.integers(0, 60, r.integers(1, 40)).astype(np.uint64))
+        sets = [np.unique(np.r_[q[r.uniform(size=len(q)) < 0.95], r.integers(0, 80, r.integers(0, 4))].astype(np.uint64)) for _ in range(12)]
+        want = {(i, len(np.intersect1d(q, s))) for i, s in enumerate(sets) if len(np.intersect1d(q, s)) >= jaccard_join.needed(len(q), len(s), 9, 10) and 10 * len(np.intersect1d(q, s)) >= 9 * len(np.union1d(q, s))}
+        assert set(jaccard_join.divide_skip(q, sets, 9, 10)) == want
+
+
+def test_jaccard_empty(empty):
+    assert jaccard_join.jaccard_components(empty).count() == 0
+
+
+def test_pieces_round_trip(docs, empty):
+    rows = pieces.round_trip(docs, with_ids=True).collect()
+    assert len(rows) == len(documents()) and all(r.lossless for r in rows)
+    encoded = pieces.encode(docs)
+    decoded = {r.doc_id: r.text for r in pieces.decode(encoded.where("doc_id IS NOT NULL")).collect()}
+    assert decoded == {i: t or "" for i, t, *_ in rows_with_id()}
+    assert {r.doc_id: r.ids for r in encoded.collect() if r.doc_id is not None} == {r.doc_id: r.ids for r in rows if r.doc_id is not None}
+    assert pieces.round_trip(empty).count() == 0
+
+
+def test_sampling_follows_the_lattice():
+    model = pieces.PieceModel(pieces.MODEL)
+    unit, seen = b" the", collections.Counter()
+    ids, per = pieces.Sampler(model).sample([pieces.row_key(i) for i in range(4000)], [unit] * 4000)
+    for x in np.split(ids, np.cumsum(per)[:-1]):
+        seen[tuple(model.bytes_of[i] for i in x.tolist())] += 1
+    p = dict(zip(model.vocabulary.pieces, np.exp(model.vocabulary.logp), strict=True))
+
+    def ways(s):
+        return [()] if not s else [(s[:k], *rest) for k in range(1, len(s) + 1) if s[:k] in p for rest in ways(s[k:])]
+
+    weight = {w: math.prod(p[x] for x in w) for w in ways(unit)}
+    total = sum(weight.values())
+    assert set(seen) <= set(weight)
+    for w, x in weight.items():
+        assert abs(seen[w] / 4000 - x / total) < 0.04
+
+
+def features(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    at = collections.defaultdict(list)
+    for i in range(len(w) - 2):
+        at[tuple(w[i : i + 3])].append(i)
+    covered = {i + d for p in at.values() if len(p) > 1 for i in p for d in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in text), len(lines) - len(set(lines)), len(covered)
+
+
+def cells(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    one = lambda s, seed: xxhash.xxh64_intdigest(s.encode(), seed)
+    ends = [x[-3:] for x in w]
+    out = [signed(one(e, 42)) % quality.BUCKETS for e in ends]
+    return out + [signed(one(b[-2:], one(a[-2:], 42))) % quality.BUCKETS for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def test_quality_rules(spark, docs, empty):
+    labels = spark.createDataFrame([(0, 1, 0), (12, 1, 0), (12, 1, 0), (16, 1, 1), (17, 0, 0), (None, 1, 0), (18, None, None)], "doc_id long, quality int, toxic int")
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t, *_ in documents():
+        raw.update(cells(t))
+        if i in (0, 12):
+            target.update(cells(t))
+    n, m = sum(raw.values()) + quality.BUCKETS, sum(target.values()) + quality.BUCKETS
+    ratio = [round(quality.SCALE * math.log((target[b] + 1) / m * n / (raw[b] + 1))) for b in range(quality.BUCKETS)]
+    got = quality.quality_rules(docs, labels).collect()
+    assert len(got) == len(documents())
+    by_id = {r.doc_id: r for r in got if r.doc_id is not None}
+    for i, t, *_ in rows_with_id():
+        r, f, g = by_id[i], features(t), cells(t)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == f
+        assert r.base_failed == (f[0] < 50 or 100 * f[4] > 50 * f[0])
+        score = sum(ratio[x] for x in g) / len(g) / quality.SCALE if g else 0.0
+        assert r.llr == pytest.approx(score, abs=2e-6) and r.kept == (not r.base_failed and r.llr >= quality.THRESHOLD)
+    assert quality.keep_good(docs, labels).columns == docs.columns
+    assert quality.keep_good(docs, labels).count() == sum(r.kept for r in got)
+    assert quality.quality_rules(empty, labels).count() == 0
+    assert {r.llr for r in quality.quality_rules(docs, labels.limit(0)).collect()} == {0.0}
+
+
+def test_license_scan(spark, empty):
+    texts = ["Some prose here.\nReleased under the MIT License.", "released UNDER the mit license", None, "", "nothing of the kind at all\nin here", "This work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0.", " ".join(t for s, t in license_scan.TEMPLATES if "hereby granted" in t and s == "MIT")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, licenses string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(df).collect()}
+
+    def norm(t):
+        return license_scan._parts(t)
+
+    for i, t in enumerate(texts):
+        lines = (t or "").split("\n")
+        want = set()
+        for piece in lines + ([t] if len(lines) > 1 else []):
+            a = norm(piece or "")
+            want |= {s for s, x in license_scan.TEMPLATES if a and 2 * len(a & norm(x)) / (len(a) + len(norm(x))) >= license_scan.THRESHOLD}
+        assert set(got[i].licenses) == want
+    assert got[0].best_license == "MIT" and got[0].best_dice == 1.0 and got[2].best_license is None
+    assert license_scan.scan_licenses(empty).count() == 0
+
+
+def test_mixing(docs, empty):
+    rows = mixing.mix_sources(docs).collect()
+    assert len(rows) == len(documents())
+    size = collections.Counter()
+    for _, t, s, *_ in documents():
+        size[s] += len((t or "").split())
+    order = sorted((s for s in size if s is not None)) + [None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, free, left = {}, set(order), sum(size.values())
+    while True:
+        share = {s: weight[s] * left / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 3 * size[s]]
+        if not over:
+            break
+        for s in over:
+            target[s] = 3 * size[s]
+            left -= target[s]
+            free.discard(s)
+    target |= share
+    ids = {i: s for i, _, s, *_ in documents() if i is not None}
+    for r in rows:
+        if r.doc_id is not None:
+            assert r.target == pytest.approx(target[ids[r.doc_id]]) and r.source_size == size[ids[r.doc_id]]
+            assert r.taken == r.size * r.copies and r.copies <= 3
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_sources(docs).collect()))
+    out = mixing.emit_mix(docs)
+    assert out.columns == docs.columns and out.count() == sum(r.copies for r in rows)
+    assert mixing.mix_sources(empty).count() == 0 and mixing.emit_mix(empty).count() == 0
+
+
+def test_exact_dedup(docs, empty):
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    groups = collections.defaultdict(list)
+    for i, t, *_ in documents():
+        groups[norm(t)].append((-len(t or ""), i is None, i or 0, i))
+    got = exact_dedup.exact_dedup(docs, capacity=2).collect()
+    assert len(got) == len(documents())
+    texts = {hashlib.sha256(x.encode()).hexdigest(): g for x, g in groups.items()}
+    for r in got:
+        g = texts[r.text_sha256]
+        assert r.group_size == len(g) and r.keep_id == min(g)[3] and r.kept == (r.doc_id == r.keep_id)
+    assert exact_dedup.exact_dedup(empty).count() == 0
+
+
+def test_directory_splits_until_buckets_fit():
+    cells = {i: 10 for i in range(16)} | {3: 100}
+    depth, owner = exact_dedup.build_directory(cells, capacity=25, depth=4)
+    assert depth == 4 and set(owner) == set(cells)
+    sizes = collections.Counter()
+    for c, (local, prefix) in owner.items():
+        assert c >> (4 - local) == prefix
+        sizes[local, prefix] += cells[c]
+    assert all(n <= 25 or local == 4 for (local, _), n in sizes.items())
+
+
+def brute_repeats(rows, span=50):
+    seen = {}
+    for i, t, *_ in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - span + 1):
+            w = b[p : p + span]
+            seen[w] = min(seen.get(w, i if i is not None else math.inf), i if i is not None else math.inf)
+    out = []
+    for i, t, *_ in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - span + 1):
+            if seen[b[p : p + span]] < (math.inf if i is None else i):
+                gone[p : p + span] = b"\1" * span
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        out.append((-1 if i is None else i, len(b), sum(gone), sum(1 for p, g in enumerate(gone) if g and (p == 0 or not gone[p - 1])), hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+def test_suffix_dedup(docs, empty):
+    got = suffix_dedup.remove_repeats(docs).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(documents())
+    assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got)
+    assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+@pytest.mark.parametrize("alphabet", [b"a", b"ab", bytes(range(0x80))])
+def test_suffix_array_order(alphabet):
+    r = random.Random(3)
+    for _ in range(25):
+        strings = [bytes(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(r.randint(0, 9))]
+        buf = suffix_array.joined(strings)
+        b = buf.tobytes()
+        suffix = lambda i: b[i : b.index(0, i)][:20]  # noqa: B023, E731
+        order = suffix_array.suffix_array(buf, 20)
+        assert sorted(order.tolist()) == [i for i in range(len(b)) if b[i]]
+        found = [suffix(i) for i in order]
+        assert found == sorted(found)
