@@ -101,16 +101,23 @@ def laplacian_turns(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def spanning_forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Minimum spanning forest (src, dst, k, cost) by Boruvka rounds under the total order (cost, src, dst, k)."""
-    todo = materialize(edges.select("src", "dst", "k", "cost").where("src <> dst"))
-    labels, chosen = nodes.select("id", F.col("id").alias("c")), None
+    """Minimum spanning forest (src, dst, k, cost) by Boruvka rounds under the total order (cost, src, dst, k).
+
+    Every round picks each tree's least edge, contracts the trees that it joins, and keeps the edges between the new
+    trees; so trees at least halve and edges shrink from round to round.
+    """
+    row = F.struct("cost", "src", "dst", "k").alias("e")
+    live = materialize(edges.where("src <> dst").select(F.col("src").alias("cs"), F.col("dst").alias("cd"), row))
+    chosen = None
     while True:
-        lab = labels.select("id", "c")
-        live = todo.join(lab.toDF("src", "cs"), "src").join(lab.toDF("dst", "cd"), "dst").where("cs <> cd")
-        row = F.struct("cost", "src", "dst", "k").alias("e")
-        best = live.select(F.col("cs").alias("c"), row).union(live.select(F.col("cd"), row)).groupBy("c").agg(F.min("e").alias("e"))
-        picked = materialize(best.select("e.src", "e.dst", "e.k", "e.cost").distinct())
+        ends = live.select(F.col("cs").alias("c"), "cs", "cd", "e").union(live.select("cd", "cs", "cd", "e"))
+        best = ends.groupBy("c").agg(F.min_by(F.struct("cs", "cd", "e"), "e").alias("b"))
+        picked = materialize(best.select("b.cs", "b.cd", "b.e").distinct())
         if not picked.limit(1).count():
-            return chosen if chosen is not None else picked
-        chosen = picked if chosen is None else materialize(chosen.union(picked))
-        labels = components(nodes, chosen).withColumnRenamed("component", "c")
+            return chosen if chosen is not None else picked.select("e.src", "e.dst", "e.k", "e.cost")
+        new = picked.select("e.src", "e.dst", "e.k", "e.cost")
+        chosen = new if chosen is None else chosen.union(new)
+        trees = picked.select(F.col("cs").alias("id")).union(picked.select("cd")).distinct()
+        label = components(trees, picked.select(F.col("cs").alias("src"), F.col("cd").alias("dst")))
+        moved = live.join(label.toDF("cs", "ns"), "cs").join(label.toDF("cd", "nd"), "cd")
+        live = materialize(moved.where("ns <> nd").select(F.col("ns").alias("cs"), F.col("nd").alias("cd"), "e"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from windlass.functions import scalars as S
 from windlass.functions.scalars import r6
-from windlass.operators import evaluate, graph, mesh, sequences, spatial, surface, volume
+from windlass.operators import evaluate, graph, mesh, neighbours, raster, sequences, spatial, surface, volume, walks
 from windlass.sources.shared import table
 from windlass.streaming import incremental
 
@@ -237,16 +237,16 @@ def radius_conflict_filter(spark, d):
     return spatial.radius_join(p, p, 8.0).where("a_lab > b_lab").select(c("a_pid").alias("pid")).distinct()
 
 
-@query(sql("points") + f" SELECT a.pid, arg_min(b.lab, ({_NEAR}, b.pid)) AS lab, round(min({_NEAR}), 6) AS d FROM points a JOIN points b ON a.pid % 2 = 0 AND b.pid % 2 = 1 AND {_NEAR} <= 15 GROUP BY a.pid")
+@query(sql("points") + f" SELECT a.pid, arg_min(b.lab, ({_NEAR}, b.pid)) AS lab, round(min({_NEAR}), 6) AS d FROM points a JOIN points b ON a.lab < 5 AND b.lab >= 5 AND {_NEAR} <= 15 GROUP BY a.pid")
 def nearest_neighbour_label(spark, d):
     p = X.points(spark, d).select("pid", "x", "y", "z", "lab")
-    return spatial.nearest(p.where("pid % 2 = 0"), p.where("pid % 2 = 1"), 15.0, "pid").select(c("a_pid").alias("pid"), c("b_lab").alias("lab"), r6(c("d")).alias("d"))
+    return spatial.nearest(p.where("lab < 5"), p.where("lab >= 5"), 15.0, "pid").select(c("a_pid").alias("pid"), c("b_lab").alias("lab"), r6(c("d")).alias("d"))
 
 
-@query(sql("points") + f" SELECT a.pid, b.pid AS other, row_number() OVER (PARTITION BY a.pid ORDER BY {_NEAR}, b.pid) AS rank FROM points a JOIN points b ON a.pid <> b.pid AND a.pid % 10 = 0 AND {_NEAR} <= 20 QUALIFY rank <= 5")
+@query(sql("points") + f" SELECT a.pid, b.pid AS other, row_number() OVER (PARTITION BY a.pid ORDER BY {_NEAR}, b.pid) AS rank FROM points a JOIN points b ON a.pid <> b.pid AND {_NEAR} <= 20 QUALIFY rank <= 5")
 def knn_topk(spark, d):
     p = X.points(spark, d).select("pid", "x", "y", "z")
-    pairs = spatial.radius_join(p.where("pid % 10 = 0"), p, 20.0).where("a_pid <> b_pid")
+    pairs = spatial.radius_join(p, p, 20.0).where("a_pid <> b_pid")
     w = W.partitionBy("a_pid").orderBy("d", "b_pid")
     return pairs.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select(c("a_pid").alias("pid"), c("b_pid").alias("other"), "rank")
 
@@ -339,7 +339,7 @@ def flip_direction(spark, d):
     return graph.flip_direction(X.edges(spark, d)).select("src", "dst", (c("k") + 0.0).alias("k"))
 
 
-_STRONG = "certainty > 0.105 AND src % 3 = 0"
+_STRONG = "certainty > 0.1085"
 _REACH = ", b AS (SELECT src AS a, dst AS b FROM edges WHERE " + _STRONG + " UNION SELECT dst, src FROM edges WHERE " + _STRONG + ")"
 
 
@@ -432,7 +432,7 @@ def node_error_quantile_filter(spark, d):
 
 @query()
 def mst_weight(spark, d):
-    e = X.edges(spark, d).where("src % 5 = 0").withColumn("cost", -c("certainty"))
+    e = X.edges(spark, d).withColumn("cost", -c("certainty"))
     return graph.spanning_forest(X.nodes(spark, d), e).agg(F.count("*").alias("n"), r6(F.sum("cost")).alias("cost"))
 
 
@@ -581,9 +581,9 @@ def incremental_blocks(spark, d):
     return incremental.ingest_blocks(spark, f"{d}/events.parquet")
 
 
-@query(sql("nodes", "edges") + ", l AS (SELECT * FROM edges WHERE src % 7 = 0), k AS (SELECT id FROM nodes WHERE id NOT IN (SELECT src FROM l UNION SELECT dst FROM l)) SELECT id FROM k")
+@query(sql("nodes", "edges") + ", l AS (SELECT * FROM edges WHERE certainty > 0.109), k AS (SELECT id FROM nodes WHERE id NOT IN (SELECT src FROM l UNION SELECT dst FROM l)) SELECT id FROM k")
 def nodes_without_edges(spark, d):
-    e = X.edges(spark, d).where("src % 7 = 0")
+    e = X.edges(spark, d).where("certainty > 0.109")
     used = e.select(c("src").alias("id")).union(e.select("dst"))
     return X.nodes(spark, d).select("id").join(used, "id", "left_anti")
 
@@ -603,3 +603,60 @@ def valid_windings(spark, d):
     days = X.grid(spark, d).groupBy("i", F.floor(c("j") / 24).alias("day")).agg(F.avg(c("t").isNotNull().cast("int")).alias("rate"))
     ok = F.when(c("rate") > 0.1, c("day"))
     return days.groupBy("i").agg(F.min(ok).alias("first_day"), F.max(ok).alias("last_day"), r6(F.avg("rate")).alias("rate"))
+
+
+# --- neighbourhoods, rasters, walks -------------------------------------------------------------------------------
+
+
+@query(sql("points") + f", r AS (SELECT a.pid, b.conf, {_NEAR} AS d, row_number() OVER (PARTITION BY a.pid ORDER BY {_NEAR}, b.pid) AS k FROM points a JOIN points b ON a.lab < 5 AND b.lab >= 5 AND {_NEAR} <= 15) SELECT pid, round(sum(conf / (d + 1e-8)) / sum(1 / (d + 1e-8)), 6) AS conf, count(*) AS n FROM r WHERE k <= 3 GROUP BY pid")
+def inverse_distance_interpolation(spark, d):
+    p = X.points(spark, d).select("pid", "x", "y", "z", "conf", "lab")
+    return neighbours.interpolate(p.where("lab < 5"), p.where("lab >= 5"), 15.0, "pid", "conf").select("pid", r6(c("conf")).alias("conf"), "n")
+
+
+@query(sql("points") + f" SELECT a.pid, count(*) AS n, round(avg(b.conf - a.conf), 6) + 0.0 AS mean_diff, round(max(b.conf), 6) AS most FROM points a JOIN points b ON a.pid <> b.pid AND {_NEAR} <= 10 GROUP BY a.pid")
+def grouped_features(spark, d):
+    g = neighbours.grouped(X.points(spark, d).select("pid", "x", "y", "z", "conf"), 10.0, "pid", "conf")
+    return g.select("pid", "n", r6(c("mean_diff")).alias("mean_diff"), r6(c("most")).alias("most"))
+
+
+@query(sql("points", recursive=True) + f", near AS (SELECT a.pid AS a, b.pid AS b, {_NEAR} AS d FROM points a JOIN points b ON {_NEAR} <= 9), core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 4), l AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)), r AS (SELECT id, id AS c FROM core UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id AND l.b > r.c), m AS (SELECT id, min(c) AS c FROM r GROUP BY id) SELECT p.pid, arg_min(m.c, (near.d, near.b)) AS cluster FROM points p LEFT JOIN near ON near.a = p.pid AND near.b IN (SELECT id FROM core) LEFT JOIN m ON m.id = near.b GROUP BY p.pid")
+def density_clusters(spark, d):
+    return neighbours.dbscan(X.points(spark, d).select("pid", "x", "y", "z"), 9.0, 4, "pid")
+
+
+@query()
+def farthest_points(spark, d):
+    return neighbours.farthest_points(X.points(spark, d), "lab", "pid", 8)
+
+
+@query(_TRI3 + ", q AS (SELECT *, (bu - au) * (cv - av) - (cu - au) * (bv - av) AS a2 FROM n), b AS (SELECT q.*, i, j, ((i * 0.02 - au) * (cv - av) - (cu - au) * (j * 0.02 - av)) / a2 AS b1, ((bu - au) * (j * 0.02 - av) - (i * 0.02 - au) * (bv - av)) / a2 AS b2 FROM q, range(0, 60) s(i), range(0, 60) t(j) WHERE i * 0.02 BETWEEN least(au, bu, cu) - 1e-6 AND greatest(au, bu, cu) + 1e-6 AND j * 0.02 BETWEEN least(av, bv, cv) - 1e-6 AND greatest(av, bv, cv) + 1e-6) SELECT CAST(tid AS BIGINT) AS tid, i, j, round(az + b1 * (bz - az) + b2 * (cz - az), 5) + 0.0 AS z FROM b WHERE b1 >= -1e-9 AND b2 >= -1e-9 AND b1 + b2 <= 1 + 1e-9")
+def rasterize_triangles(spark, d):
+    r = raster.rasterize(_triangles(spark, d), X.lattice(spark, d), 0.02, ["z"])
+    return r.select(c("tid").cast("long").alias("tid"), "i", "j", (F.round("z", 5) + 0.0).alias("z"))
+
+
+@query(sql("lattice", "tri") + ", u AS (SELECT tid, unnest([v0, v1, v2]) AS v FROM tri) SELECT DISTINCT CAST(a.tid AS BIGINT) AS a, CAST(b.tid AS BIGINT) AS b FROM u a JOIN u b ON a.v = b.v AND a.tid < b.tid")
+def triangle_adjacency(spark, d):
+    p = raster.sharing_vertices(_triangles(spark, d))
+    return p.select(c("a").cast("long").alias("a"), c("b").cast("long").alias("b"))
+
+
+@query(sql("points") + ", b AS (SELECT pid AS id, x AS x0, z AS y0, x + 4 + conf AS x1, z + 5 AS y1 FROM points), o AS (SELECT a.id AS a, b.id AS b, least(a.x1, b.x1) - greatest(a.x0, b.x0) AS w, least(a.y1, b.y1) - greatest(a.y0, b.y0) AS h, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s FROM b a JOIN b ON a.id < b.id) SELECT a, b, round(w * h / (s - w * h), 6) AS iou FROM o WHERE w > 0 AND h > 0")
+def box_overlaps(spark, d):
+    b = X.points(spark, d).select(c("pid").alias("id"), c("x").alias("x0"), c("z").alias("y0"), (c("x") + 4 + c("conf")).alias("x1"), (c("z") + 5).alias("y1"))
+    return raster.box_overlaps(b, 6.0).select("a", "b", r6(c("iou")).alias("iou"))
+
+
+@query()
+def random_walk_votes(spark, d):
+    e = X.edges(spark, d)
+    starts = X.nodes(spark, d).select(c("id").alias("walk"), c("id").alias("node"))
+    return walks.votes(walks.random_walks(starts, e, 4), 1)
+
+
+@query()
+def tree_assignment(spark, d):
+    e = X.edges(spark, d).withColumn("cost", -c("certainty"))
+    tree = graph.spanning_forest(X.nodes(spark, d), e)
+    return walks.assign_along_tree(tree, 1)
