@@ -2,6 +2,8 @@
 
 A text is compared as a whole and line by line. Dice can reach t only if the bigram sets' sizes m and n have
 2 * min(m, n) >= t * (m + n), so for every size only few templates are candidates; all other sizes are dropped unread.
+A set of m bigrams also needs t * m / (2 - t) of them in common with a template, and so with all templates together: one
+look-up in these drops most prose before any template is tried.
 """
 
 from __future__ import annotations
@@ -84,7 +86,9 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: tupl
             tests.append(F.struct(F.coalesce(-F.round(dice, 9), F.lit(0.0)).alias("d"), F.lit(spdx).alias("id")))
         return F.filter(F.array(*tests), lambda x: x["d"] <= -threshold)
 
-    rows = rows.withColumn("hits", F.transform("g", found))
+    every = F.array(*[F.lit(g) for g in sorted({g for _, s in sets for g in s})])
+    close = lambda g: F.size(F.array_intersect(g, every)) >= F.size(g) * (threshold / (2 - threshold)) - 1e-9
+    rows = rows.withColumn("near", F.filter("g", close)).withColumn("hits", F.transform("near", found))
     best = F.array_min(F.flatten("hits"))
     return rows.select(
         "doc_id", F.size("g").cast("long").alias("n_scanned"), F.size(F.filter("hits", lambda h: F.size(h) > 0)).cast("long").alias("n_matches"),
