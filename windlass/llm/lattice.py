@@ -38,10 +38,11 @@ class Vocabulary:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece numbers of hashes, -1 where there is none."""
-        at = self.first[(h * _MIX) >> self.shift]
-        at = np.where((at >= 0) & (self.hashes[at] == h), at, -1)
-        if len(self.rest_hash):
-            lost = np.flatnonzero(at < 0)
+        slot = self.first[(h * _MIX) >> self.shift]
+        hit = (slot >= 0) & (self.hashes[slot] == h)
+        at = np.where(hit, slot, -1)
+        if len(self.rest_hash):  # only a slot that another piece holds can stand for one of the rest
+            lost = np.flatnonzero((slot >= 0) & ~hit)
             where = np.minimum(np.searchsorted(self.rest_hash, h[lost]), len(self.rest_hash) - 1)
             at[lost] = np.where(self.rest_hash[where] == h[lost], self.rest_id[where], -1)
         return at
