@@ -20,13 +20,27 @@ def axis_intervals(axis: DataFrame) -> DataFrame:
     return nxt.withColumn("last", F.col("y1") == F.max("y1").over(W.partitionBy()))
 
 
+#: An axis of at most so many control points is read once and joined as a local table.
+AXIS_POINTS = 50_000
+
+
+def _local_intervals(axis: DataFrame) -> DataFrame:
+    """axis_intervals() of an axis that a bounded read shows to be short; a longer one stays distributed."""
+    rows = axis.select("y", "x", "z").limit(AXIS_POINTS + 1).collect()
+    if len(rows) > AXIS_POINTS:
+        return axis_intervals(axis)
+    rows = sorted((float(r["y"]), float(r["x"]), float(r["z"])) for r in rows)
+    pairs = [(*a, *b, i == 0, i == len(rows) - 2) for i, (a, b) in enumerate(zip(rows, rows[1:], strict=False))]
+    return axis.sparkSession.createDataFrame(pairs, "y0 double, x0 double, z0 double, y1 double, x1 double, z1 double, first boolean, last boolean")
+
+
 def axis_join(points: DataFrame, axis: DataFrame, y: str = "y", clamp: bool = True) -> DataFrame:
     """Adds ax, az: the axis at each point's y, linear between control points; beyond them constant (clamp) or extrapolated.
 
     Every interval is dealt to the unit cells of y that it touches, so that points meet it by an equi-join; what lies
     outside the axis goes to two cells of its own.
     """
-    iv = axis_intervals(axis)
+    iv = _local_intervals(axis)
     ends = iv.agg(F.min("y0").alias("lo"), F.max("y1").alias("hi")).first()
     lo, hi = float(ends["lo"]), float(ends["hi"])
     below, above = int(lo) - 2, int(hi) + 2
