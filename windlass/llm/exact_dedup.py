@@ -48,6 +48,7 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, depth: int = DEPTH) -
        keys apart.
     """
     spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     norm = F.translate(text_of(), SPACE, "")
     entries = stored(
         docs.select("doc_id", F.length(text_of()).alias("n_cp"), norm.alias("norm")).select(

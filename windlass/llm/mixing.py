@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, text_of
+from .common import WORD, checked_broadcast, stored, text_of
 
 #: Weights dealt to the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -75,8 +75,6 @@ def emit_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     targets = stored(source_targets(sized, weights, cap).select(F.col("source").alias("__source"), F.col("rate").alias("__rate")))
     whole = F.floor("__rate")
     copies = (whole + F.when(uniform(F.col("doc_id"), seed) < F.col("__rate") - whole, 1).otherwise(0)).cast("int")
-    from .common import checked_broadcast
-
     rows = docs.join(checked_broadcast(targets, 100_000), docs["source"].eqNullSafe(F.col("__source")), "inner")
     rows = rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(True), copies)))
     return rows.select(*[docs[c] for c in docs.columns])
