@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
+NON_SPACE = r"[^\x20\x09-\x0D]"
 
 #: A side of a join is broadcast only when it was counted and has at most this many (narrow) rows.
 BROADCAST_ROWS = 500_000

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACES, text_of
+from .common import NON_SPACE, SPACES, text_of
 
 #: Cells of either multinomial; n-grams are hashed into them, so both stay this small at any input size.
 BUCKETS = 4096
@@ -18,14 +18,13 @@ THRESHOLD = -0.25
 #: The target is learned from at most about so many labelled documents, chosen by a hash of doc_id beyond that.
 TRUSTED_ROWS = 400_000
 MIN_WORDS = 50
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 #: Log ratios are kept as integers of 1 / SCALE, so that sums do not depend on their order.
 SCALE = 10_000
 
 
 def _words(text: Column) -> Column:
-    trimmed = F.btrim(text, F.lit(SPACE))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES))
+    return F.array_remove(F.split(text, SPACES), "")
 
 
 def _bucket(*parts: Column) -> Column:
@@ -72,11 +71,11 @@ def base_features(rows: DataFrame) -> DataFrame:
     same = lambda a, b: F.coalesce(F.get("__s", a)["h"] == F.get("__s", b)["h"], F.lit(False))
     twice = F.filter("__s", lambda x, k: same(k, k - 1) | same(k, k + 1))
     covered = F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, SPACE, "") != "")
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(NON_SPACE))
     rows = rows.withColumn("__l", lines).withColumns({
         "n_words": n.cast("long"),
-        "word_chars": F.length(F.translate("text", SPACE, "")).cast("long"),
-        "n_symbols": (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.array_join("__w", "")).cast("long"),
+        "n_symbols": F.regexp_count("text", F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
         "n_repeat_words": covered.cast("long"),
     })
