@@ -95,3 +95,28 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: tupl
         F.array_sort(F.array_distinct(F.transform(F.flatten("hits"), lambda h: h["id"]))).alias("licenses"),
         best["id"].alias("best_license"), (-best["d"]).alias("best_dice"),
     )
+
+
+def _sql(threshold: float = THRESHOLD) -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = []
+    for spdx, text in TEMPLATES:
+        grams = sorted(f"{a} {b}" for a, b in _parts(text))
+        least, most = size_bounds(len(grams), threshold)
+        rows.append(f"({quoted(spdx)}, {least}, {most}, [{', '.join(map(quoted, grams))}])")
+    return f"""
+WITH t(spdx, least, most, tg) AS (VALUES {', '.join(rows)}),
+d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+p AS (SELECT doc_id, unnest(CASE WHEN len(l) > 1 THEN list_append(l, t) ELSE l END) AS p, unnest(range(0, len(l) + 1)) AS k FROM d),
+w AS (SELECT doc_id, k, string_split(trim(regexp_replace(translate(p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM p WHERE p IS NOT NULL),
+g AS (SELECT doc_id, k, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w),
+s AS (SELECT * FROM g WHERE len(g) BETWEEN (SELECT min(least) FROM t) AND (SELECT max(most) FROM t)),
+m AS (SELECT doc_id, k, spdx, round(2.0::DOUBLE * len(list_intersect(g, tg)) / (len(g) + len(tg)), 9) AS dice FROM s JOIN t ON len(g) BETWEEN least AND most),
+f AS (SELECT doc_id, count(DISTINCT k) AS n_matches, string_agg(DISTINCT spdx, ',' ORDER BY spdx) AS licenses, arg_min(spdx, (-dice, spdx)) AS best_license, max(dice) AS best_dice FROM m WHERE dice >= {threshold} GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_scanned FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n_scanned, 0) AS n_scanned, coalesce(f.n_matches, 0) AS n_matches, coalesce(f.licenses, '') AS licenses, f.best_license, f.best_dice
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN f USING (doc_id)
+"""
+
+
+SQL = _sql()

@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.SQL, "op4_jaccard_join": jaccard_join.SQL, "op8_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {"op1_warc": warc.SQL, "op4_jaccard_join": jaccard_join.SQL, "op7_license_scan": license_scan.SQL, "op8_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL}
