@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -291,6 +292,45 @@ def test_license_scan(spark, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_license_scan_finds_wrapped_and_inline_notices(spark):
+    mit = next(t for s, t in license_scan.TEMPLATES if s == "MIT" and "hereby granted" in t)
+    head = "MIT License\n\nCopyright (c) 2020 Some One\n\n"
+    tail = "\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY"
+    gpl = next(t for s, t in license_scan.TEMPLATES if s == "GPL-3.0" and "free software" in t)
+    prose = "Some prose about the thing that we made last year."
+    texts = {
+        0: (head + textwrap.fill(mit, 76) + tail, ["MIT"]),
+        1: (f"{prose} Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]),
+        2: ("\n".join(f"# {x}" for x in textwrap.wrap(gpl, 60)) + "\nimport this\n" + prose, ["GPL-3.0"]),
+        3: (f"{prose} Released under the MIT License. {prose * 30} Licensed under CC BY 4.0. {prose}", ["CC-BY-4.0", "MIT"]),
+        4: (" ".join([prose] * 50), []),
+        5: ("licensed under\nthe", []),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(df).collect()}
+    assert {i: r.licenses for i, r in got.items()} == {i: w for i, (_, w) in texts.items()}
+    assert got[0].best_dice == got[1].best_dice == got[3].best_dice == 1.0 and got[3].n_places == 2 and got[4].n_places == 0
+
+
+def test_license_windows_equal_brute_force(spark):
+    r, t = random.Random(11), license_scan.THRESHOLD
+    short = [(s, x) for s, x in license_scan.TEMPLATES if len(license_scan._parts(x)) < 14]
+    pool = sorted({w for _, x in short for w in license_scan._words_of(x)})
+    texts = []
+    for _ in range(60):
+        words = license_scan._words_of(r.choice(short)[1])
+        for _ in range(r.randint(0, 3)):
+            words[r.randrange(len(words))] = r.choice(pool)
+        texts.append(" ".join(r.choices(pool, k=r.randint(0, 8)) + words + r.choices(pool, k=r.randint(0, 8))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.best_dice for x in license_scan.scan_licenses(df).collect()}
+    for i, text in enumerate(texts):
+        w = license_scan._words_of(text)
+        every = [license_scan._parts(" ".join(w[a:b])) for a in range(len(w)) for b in range(a + 2, len(w) + 1)]
+        best = max(2 * len(g & s) / (len(g) + len(s)) for _, x in license_scan.TEMPLATES for s in [license_scan._parts(x)] for g in every)
+        assert got[i] == (pytest.approx(best, abs=1e-8) if round(best, 9) >= t else None)
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix_sources(docs).collect()
     assert len(rows) == len(documents())

@@ -4,6 +4,10 @@ A text is compared as a whole and line by line. Dice can reach t only if the big
 2 * min(m, n) >= t * (m + n), so for every size only few templates are candidates; all other sizes are dropped unread.
 A set of m bigrams also needs t * m / (2 - t) of them in common with a template, and so with all templates together: one
 look-up in these drops most prose before any template is tried.
+
+Notices wrapped over lines or inside longer lines are found in windows of the whole text's bigrams. Taking a bigram that is
+not the template's off an end never lowers Dice, so windows that start and end at the template's bigrams stand for all; and
+a start needs the least possible number of common bigrams within the longest window. Neither drops a match.
 """
 
 from __future__ import annotations
@@ -41,8 +45,12 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 
 
+def _words_of(text: str) -> list[str]:
+    return re.sub(r"[^a-z0-9]+", " ", text.translate({c: c + 32 for c in range(65, 91)})).split()
+
+
 def _parts(text: str) -> set[tuple[str, str]]:
-    words = re.sub(r"[^a-z0-9]+", " ", text.translate({c: c + 32 for c in range(65, 91)})).split()
+    words = _words_of(text)
     return set(zip(words, words[1:], strict=False))
 
 
@@ -56,13 +64,49 @@ def _words(text: Column) -> Column:
     return F.btrim(F.regexp_replace(lower, "[^a-z0-9]+", " "), F.lit(SPACE))
 
 
+def _least_common(n: int, least: int, threshold: float) -> int:
+    """Bigrams that the smallest set within the bounds, and so every set, must have in common with one of n."""
+    return math.ceil(threshold * (n + least) / 2 - 1e-9)
+
+
+def _windows(all_grams: Column, own: Column, threshold: float) -> Column:
+    """Best window of each start and template at or above threshold: (d, id, s, e), of the templates `own` with their bigrams
+    that the text has at all (`has`)."""
+
+    def of(x: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.size(all_grams)), lambda i: F.array_contains(x["has"], F.element_at(all_grams, i)))
+        starts = F.filter(at, lambda s: F.size(F.array_intersect(F.slice(all_grams, s, x["span"]), x["has"])) >= x["need"])
+
+        def best(s: Column) -> Column:
+            ends = F.filter(F.sequence(s, F.least(s + x["span"] - 1, F.size(all_grams))), lambda e: (e - s + 1 >= x["least"]) & F.array_contains(x["has"], F.element_at(all_grams, e)))
+
+            def tried(e: Column) -> Column:
+                inside = F.slice(all_grams, s, e - s + 1)
+                dice = 2.0 * F.size(F.array_intersect(inside, x["has"])) / (F.size(F.array_distinct(inside)) + x["n"])
+                return F.struct((-F.round(dice, 9)).alias("d"), x["id"].alias("id"), s.alias("s"), e.alias("e"))
+
+            return F.array_min(F.transform(ends, tried))
+
+        return F.filter(F.transform(starts, best), lambda b: b["d"] <= -threshold)
+
+    return F.flatten(F.transform(own, of))
+
+
+def _places(windows: Column) -> Column:
+    """Windows, best first, that share no bigram with a better one: a place has only its best template."""
+    free = lambda kept, w: ~F.exists(kept, lambda k: (k["s"] <= w["e"]) & (w["s"] <= k["e"]))
+    none = F.array().cast("array<struct<d:double,id:string,s:int,e:int>>")
+    return F.aggregate(F.array_sort(windows), none, lambda kept, w: F.when(free(kept, w), F.concat(kept, F.array(w))).otherwise(kept))
+
+
 def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """One row per row of docs: doc_id, n_scanned (lines whose size allows any template), n_matches, licenses (sorted
-    distinct identifiers found), best_license, best_dice.
+    """One row per row of docs: doc_id, n_scanned (lines whose size allows any template), n_matches (lines and whole texts
+    that match), licenses (sorted distinct identifiers found), best_license, best_dice, n_places (places in the text).
 
-    Normal form: A-Z lowered, every run of other characters than a-z and 0-9 one space. Pieces compared: every line, and
-    the whole text if it has several. A piece matches a template whose Dice coefficient is at least `threshold`; of equal
-    ones the smaller identifier is best. Null texts, and texts without two words, have no matches: an empty list and
+    Normal form: A-Z lowered, every run of other characters than a-z and 0-9 one space. Pieces compared: every line, the
+    whole text if it has several, and windows of consecutive words across lines: from every start, as many bigrams as a
+    template's size bounds allow and as many more as it repeats itself. A piece matches a template whose Dice coefficient is
+    at least `threshold`; of windows that overlap only the best counts. Of equal ones the smaller identifier is best. Null texts, and texts without two words, have no matches: an empty list and
     nulls. Repeated rows give equal rows. Only doc_id and text are read.
     """
     sets = [(spdx, sorted(f"{a} {b}" for a, b in _parts(t))) for spdx, t in templates]
@@ -75,8 +119,10 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: tupl
     pieces = F.filter(pieces, lambda p: F.length(p) >= 2 * low + 1)
     words = F.filter(F.transform(pieces, lambda p: F.split(_words(p), " ")), lambda w: F.size(w) > low)
     rows = docs.select("doc_id", words.alias("w"))
-    grams = F.transform("w", lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))))
-    rows = rows.withColumn("g", F.filter(grams, lambda g: F.size(g).between(low, high)))
+    grams = F.transform("w", lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+    rows = rows.select("doc_id", grams.alias("all"))
+    # The whole text is the last of the pieces, and where it is too short for a template so are all.
+    rows = rows.select("doc_id", F.filter(F.transform("all", F.array_distinct), lambda g: F.size(g).between(low, high)).alias("g"), F.when(F.size("all") > 0, F.element_at("all", -1)).alias("all"))
 
     def found(g: Column) -> Column:
         tests = []
@@ -89,11 +135,23 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: tupl
     every = F.array(*[F.lit(g) for g in sorted({g for _, s in sets for g in s})])
     close = lambda g: F.size(F.array_intersect(g, every)) >= F.size(g) * (threshold / (2 - threshold)) - 1e-9
     rows = rows.withColumn("near", F.filter("g", close)).withColumn("hits", F.transform("near", found))
-    best = F.array_min(F.flatten("hits"))
+
+    kinds = []
+    for (spdx, s), (_, t), (least, most) in zip(sets, templates, bounds, strict=True):
+        repeats = len(_words_of(t)) - 1 - len(s)
+        kinds.append(F.struct(F.lit(spdx).alias("id"), F.lit(len(s)).alias("n"), F.lit(least).alias("least"), F.lit(most + repeats).alias("span"), F.lit(_least_common(len(s), least, threshold)).alias("need"), F.array(*map(F.lit, s)).alias("grams")))
+    fewest = min(_least_common(len(s), b[0], threshold) for (_, s), b in zip(sets, bounds, strict=True))
+    rows = rows.withColumn("known", F.array_intersect("all", every))
+    having = F.transform(F.array(*kinds), lambda x: F.struct(*(x[f].alias(f) for f in ("id", "n", "least", "span", "need")), F.array_intersect("known", x["grams"]).alias("has")))
+    rows = rows.withColumn("own", F.when(F.size("known") >= fewest, F.filter(having, lambda x: F.size(x["has"]) >= x["need"])))
+    places = F.when(F.size("own") > 0, _places(_windows(F.col("all"), F.col("own"), threshold)))
+    rows = rows.withColumn("places", F.coalesce(places, F.array().cast("array<struct<d:double,id:string,s:int,e:int>>")))
+    rows = rows.withColumn("any", F.concat(F.flatten("hits"), F.transform("places", lambda p: F.struct(p["d"].alias("d"), p["id"].alias("id")))))
+    best = F.array_min("any")
     return rows.select(
         "doc_id", F.size("g").cast("long").alias("n_scanned"), F.size(F.filter("hits", lambda h: F.size(h) > 0)).cast("long").alias("n_matches"),
-        F.array_sort(F.array_distinct(F.transform(F.flatten("hits"), lambda h: h["id"]))).alias("licenses"),
-        best["id"].alias("best_license"), (-best["d"]).alias("best_dice"),
+        F.array_sort(F.array_distinct(F.transform("any", lambda h: h["id"]))).alias("licenses"),
+        best["id"].alias("best_license"), (-best["d"]).alias("best_dice"), F.size("places").cast("long").alias("n_places"),
     )
 
 
