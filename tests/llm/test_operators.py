@@ -229,6 +229,34 @@ def test_sampling_follows_the_lattice():
         assert abs(seen[w] / 4000 - x / total) < 0.04
 
 
+@pytest.mark.parametrize("text", [b"   ", b"    if", b"a  b", b"\n  \n"])
+def test_sampling_follows_the_lattice_over_runs_of_spaces(text):
+    model = pieces.PieceModel(pieces.MODEL)
+    ids, per = pieces.Sampler(model).sample([pieces.row_key(i) for i in range(4000)], [text] * 4000)
+    seen = collections.Counter(tuple(model.bytes_of[i] for i in x.tolist()) for x in np.split(ids, np.cumsum(per)[:-1]))
+    p = dict(zip(model.vocabulary.pieces, np.exp(model.vocabulary.logp), strict=True))
+
+    def ways(s):
+        return [()] if not s else [(s[:k], *rest) for k in range(1, len(s) + 1) if s[:k] in p for rest in ways(s[k:])]
+
+    weight = {w: math.prod(p[x] for x in w) for w in ways(text)}
+    total = sum(weight.values())
+    assert set(seen) <= set(weight)
+    for w, x in weight.items():
+        assert abs(seen[w] / 4000 - x / total) < 0.04
+
+
+def test_long_lattice_is_the_lattice():
+    model = pieces.PieceModel(pieces.MODEL)
+    text = b" " * 19 + b"indented" + "é".encode() * 4
+    ends, back, piece, share = pieces.long_lattice(model.vocabulary, text)
+    plain = lattice.Lattice(model.vocabulary, [text])
+    alpha = plain.forward()[:, 0]
+    want = {(j, j - i, int(p[0])): math.exp(alpha[i] + model.vocabulary.logp[p[0]] - alpha[j]) for i, j, _, p in plain.steps if alpha[j] > -math.inf}
+    got = {(a, b, c): x for a, b, c, x in zip(ends.tolist(), back.tolist(), piece.tolist(), share.tolist(), strict=True) if x > 0}
+    assert got == pytest.approx({k: x for k, x in want.items() if x > 0})
+
+
 def features(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)

@@ -12,15 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, text_of
-from .lattice import Lattice, Vocabulary, by_length, rank_weights
+from .lattice import _BASE, LONG, Lattice, Vocabulary, by_length, rank_weights
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 23
 #: Distinct units whose lattices a task keeps; beyond that it starts anew. It changes no result.
 KEPT_UNITS = 250_000
 MARK = "▁"
-#: No piece has a space but at its start, or a line feed but alone: lattices of larger stretches factor into these.
-_UNITS = re.compile(rb" ?[^ \n]+|\n| ")
+#: No piece has a space after another character, or a line feed but alone: lattices of larger stretches factor into these.
+_UNITS = re.compile(rb" *[^ \n]+|\n| +")
+_INSIDE = re.compile(rb" *[^ \n]*|\n")  # what no cut between units can fall into
 _U = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -52,6 +53,8 @@ class PieceModel:
                 self.ids.append(i)
                 pieces.append(raw)
                 ranks.append(-model.get_score(i) if not byte else size)
+        if crossing := [p for p in pieces if not _INSIDE.fullmatch(p)]:
+            raise ValueError(f"pieces that cross units: {crossing[:5]}")
         self.bytes_of = dict(zip(self.ids, pieces, strict=True))
         self.vocabulary = Vocabulary(pieces, rank_weights(np.maximum(np.array(ranks, np.float64), 0.0)))
         self.numbers = np.array(self.ids, np.int32)
@@ -60,6 +63,39 @@ class PieceModel:
         return b"".join([self.bytes_of[i] for i in ids])
 
 
+def long_lattice(vocabulary: Vocabulary, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of one long string, ordered by end: (ends, lengths, pieces, share of an edge among those of its end)."""
+    chars = np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)
+    sums, power, found = np.zeros(len(text) + 1, np.uint64), np.uint64(1), []
+    with np.errstate(over="ignore"):
+        for n in range(1, min(vocabulary.longest, len(text)) + 1):
+            power *= _BASE
+            sums = sums[:-1] * _BASE + chars[n - 1 :]
+            ids = vocabulary.find(sums + np.uint64(n) * power)
+            at = np.flatnonzero(ids >= 0)
+            found.append((at + n, np.full(len(at), n, np.int32), ids[at].astype(np.int32)))
+    ends, back, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(ends, kind="stable")
+    ends, back, piece = ends[order], back[order], piece[order]
+    weight, share = vocabulary.logp[piece], np.empty(len(ends))
+    alpha = np.full(len(text) + 1, -np.inf)
+    alpha[0] = 0.0
+    heads = np.searchsorted(ends, np.arange(len(text) + 2))
+    for j in range(1, len(text) + 1):
+        k = slice(heads[j], heads[j + 1])
+        x = alpha[j - back[k]] + weight[k]
+        top = x.max(initial=-np.inf)
+        if top > -np.inf:
+            x = np.exp(x - top)
+            alpha[j] = top + np.log(x.sum())
+            share[k] = x / x.sum()
+        else:
+            share[k] = 0.0
+    if not np.isfinite(alpha[-1]):
+        raise ValueError("the vocabulary cannot spell a text")
+    return ends, back, piece, share
+
+
 def uniforms(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Numbers in [0, 1) fixed by (row key, place in the row)."""
     with np.errstate(over="ignore"):
@@ -89,6 +125,14 @@ class Sampler:
         states = self.states
         parts = []
         for at, group in by_length(units):
+            if len(group[0]) > LONG:
+                for i, unit in zip(at, group, strict=True):
+                    ends, back, piece, share = long_lattice(self.model.vocabulary, unit)
+                    ok = share > 0
+                    parts.append((states + ends[ok], share[ok], back[ok], piece[ok]))
+                    base[i] = states
+                    states += len(unit) + 1
+                continue
             lattice = Lattice(self.model.vocabulary, group)
             alpha = lattice.forward()  # forward filtering
             if not np.isfinite(alpha[-1]).all():
