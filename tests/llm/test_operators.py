@@ -340,6 +340,15 @@ def test_license_scan_finds_wrapped_and_inline_notices(spark):
     assert got[0].best_dice == got[1].best_dice == got[3].best_dice == 1.0 and got[3].n_places == 2 and got[4].n_places == 0
 
 
+def test_license_scan_tells_templates_of_one_wording_apart(spark):
+    gpl3, gpl2 = ("This work is licensed under the GNU General Public License, version %d." % v for v in (3, 2))
+    cc = "This work is licensed under a Creative Commons Attribution 4.0 International License."
+    texts = [gpl3, f"Prose.\n{gpl2}\nMore prose.", f"{gpl3}\n{gpl2}", cc, cc.replace("Attribution", "Attribution-NonCommercial"), "Nothing of the kind.", None]
+    want = [["GPL-3.0"], ["GPL-2.0"], ["GPL-2.0", "GPL-3.0"], ["CC-BY-4.0"], ["CC-BY-NC-4.0"], [], []]
+    got = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.identified for r in got} == dict(enumerate(want))
+
+
 def test_license_windows_equal_brute_force(spark):
     r, t = random.Random(11), license_scan.THRESHOLD
     short = [(s, x) for s, x in license_scan.TEMPLATES if len(license_scan._parts(x)) < 14]

@@ -101,12 +101,15 @@ def _places(windows: Column) -> Column:
 
 def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """One row per row of docs: doc_id, n_scanned (lines whose size allows any template), n_matches (lines and whole texts
-    that match), licenses (sorted distinct identifiers found), best_license, best_dice, n_places (places in the text).
+    that match), licenses (sorted distinct identifiers found), best_license, best_dice, n_places (places in the
+    text), identified (sorted distinct identifiers of each place's best template only).
 
     Normal form: A-Z lowered, every run of other characters than a-z and 0-9 one space. Pieces compared: every line, the
     whole text if it has several, and windows of consecutive words across lines: from every start, as many bigrams as a
     template's size bounds allow and as many more as it repeats itself. A piece matches a template whose Dice coefficient is
-    at least `threshold`; of windows that overlap only the best counts. Of equal ones the smaller identifier is best. Null texts, and texts without two words, have no matches: an empty list and
+    at least `threshold`; of windows that overlap only the best counts. Of equal ones the smaller identifier is best. Templates may differ in one
+    word, and `licenses` has every template that a line or whole text matches; `identified` tells them apart. Where no window
+    matches, as in a line of many repeats, it has each line's best. Null texts, and texts without two words, have no matches: an empty list and
     nulls. Repeated rows give equal rows. Only doc_id and text are read.
     """
     sets = [(spdx, sorted(f"{a} {b}" for a, b in _parts(t))) for spdx, t in templates]
@@ -148,10 +151,12 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: tupl
     rows = rows.withColumn("places", F.coalesce(places, F.array().cast("array<struct<d:double,id:string,s:int,e:int>>")))
     rows = rows.withColumn("any", F.concat(F.flatten("hits"), F.transform("places", lambda p: F.struct(p["d"].alias("d"), p["id"].alias("id")))))
     best = F.array_min("any")
+    single = F.when(F.size("places") > 0, F.transform("places", lambda p: p["id"])).otherwise(F.transform(F.filter("hits", lambda h: F.size(h) > 0), lambda h: F.array_min(h)["id"]))
     return rows.select(
         "doc_id", F.size("g").cast("long").alias("n_scanned"), F.size(F.filter("hits", lambda h: F.size(h) > 0)).cast("long").alias("n_matches"),
         F.array_sort(F.array_distinct(F.transform("any", lambda h: h["id"]))).alias("licenses"),
         best["id"].alias("best_license"), (-best["d"]).alias("best_dice"), F.size("places").cast("long").alias("n_places"),
+        F.array_sort(F.array_distinct(single)).alias("identified"),
     )
 
 

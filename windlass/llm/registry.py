@@ -34,7 +34,7 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
-    return rows.withColumn("licenses", F.concat_ws(",", "licenses")).drop("n_places")
+    return rows.withColumn("licenses", F.concat_ws(",", "licenses")).drop("n_places", "identified")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
