@@ -12,10 +12,33 @@ from windlass.llm.common import checked_broadcast, stored, table
 NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 8, 10
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in dropped (doc_id), which is broadcast only if it was counted to be small."""
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number of its own for every row in __n: its doc_id, or for rows without one, and all but the first of
+    those that repeat one, a number beyond all doc_ids."""
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__n", F.col("doc_id").cast("long")))
+    firsts = rows.where("__n IS NOT NULL").groupBy(F.col("__n").alias("__id")).agg(F.min("__row").alias("__first"), F.count("*").alias("__count"))
+    repeated = stored(firsts.where("__count > 1").select("__id", "__first"))
+    least, most, last = rows.agg(F.min("__n"), F.max("__n"), F.max("__row")).first()
+    least, most, last = least or 0, most or 0, last or 0
+    if most + 1 + last < 1 << 63:
+        other = F.lit(most + 1).cast("long") + F.col("__row")
+    elif least - 1 - last >= -(1 << 63):
+        other = F.lit(least - 1).cast("long") - F.col("__row")
+    else:
+        raise ValueError("doc_ids leave no room for numbers of rows without one")
+    rows = rows.join(checked_broadcast(repeated), F.col("__n") == F.col("__id"), "left")
+    number = F.when(F.col("__n").isNull() | (F.col("__row") != F.col("__first")), other).otherwise(F.col("__n"))
+    return rows.select(*docs.columns, number.alias("__n"))
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("__n").alias("doc_id"), "text")
+
+
+def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """rows of _numbered without those whose number is in dropped (doc_id), which is broadcast only if it was counted to be small."""
     ids = stored(dropped.select(F.col("doc_id").alias("__drop")).distinct())
-    return docs.join(checked_broadcast(ids), F.col("doc_id") == F.col("__drop"), "left_anti")
+    return rows.join(checked_broadcast(ids), F.col("__n") == F.col("__drop"), "left_anti").drop("__n")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,12 +48,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return _without(docs, exact_dedup.exact_dedup(docs).where("NOT kept"))
+    rows = _numbered(docs)
+    return _without(rows, exact_dedup.exact_dedup(_keyed(rows)).where("NOT kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near duplicates."""
-    return _without(docs, jaccard_join.jaccard_components(docs, NEAR_WORDS, NEAR_NUM, NEAR_DEN).where("component_id <> doc_id"))
+    """One document, that with the smallest number (its doc_id where that is its own), of each group of near duplicates."""
+    rows = _numbered(docs)
+    return _without(rows, jaccard_join.jaccard_components(_keyed(rows), NEAR_WORDS, NEAR_NUM, NEAR_DEN).where("component_id <> doc_id"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

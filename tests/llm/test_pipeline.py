@@ -33,6 +33,19 @@ def test_near_and_exact_stages_drop_all_but_one(spark):
     assert {r.doc_id for r in corpus_pipeline.near_stage(spark, exact, SF).collect()} == {2, 4, 5}
 
 
+def test_stages_decide_rows_without_an_id_of_their_own(spark):
+    base = " ".join(f"w{i}" for i in range(200))
+    near = base.replace("w100 ", "other ")
+    lone = " ".join(f"v{i}" for i in range(200))
+    rows = [(None, base), (None, base), (7, base), (7, base), (7, lone), (None, near), (None, near), (8, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    exact = corpus_pipeline.exact_stage(spark, docs, SF)
+    assert exact.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in exact.collect()) == sorted([("7", base), ("7", lone), ("None", near), ("8", "None")])
+    left = corpus_pipeline.near_stage(spark, docs, SF).collect()
+    assert sorted(str(r.text) for r in left) == sorted([base, lone, "None", "None"])  # rows without words have no links
+
+
 def test_run_on_empty_table(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
