@@ -449,6 +449,56 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 20])
+def test_suffix_dedup_of_hot_minimizers(spark, docs, hot):
+    """One phrase in many contexts, a text that repeats itself and near copies: the hot ones' way gives the same result."""
+    r = random.Random(5)
+    phrase = "the very common phrase"
+    rows = [(i, " ".join(r.choice(WORDS) for _ in range(6)) + f" {phrase} {r.choice(WORDS)} {i % 40} " + "ab cd " * (i % 30)) for i in range(300)]
+    many = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.remove_repeats(many, hot=hot, texts=False).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows)
+    got = suffix_dedup.remove_repeats(docs, hot=hot).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(documents())
+
+
+def test_suffix_dedup_bounds(spark):
+    """A text of 20 MB and 5,000 contexts of one 16-byte string: units stay bounded, and no bucket has all the contexts."""
+    r = random.Random(6)
+    big = "".join(r.choices("abcdefghij ", k=20_000_000))
+    rows = [(1, big), (2, "x" * 100 + big[1_000_000:1_000_200] + "y" * 100)]
+    rows += [(10 + i, f"{r.getrandbits(150):040x} sixteen bytes it {r.getrandbits(150):040x}") for i in range(5_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    units = suffix_dedup.Units(df)
+    assert units.rows == 5_002 and all(x.n <= 4_000 for x in units.table.collect())
+    hot = suffix_dedup.hot_minimizers(units, suffix_dedup.SPAN, 500)
+    assert len(hot) >= 1
+    got = {x.doc_id: x for x in suffix_dedup.remove_repeats(df, texts=False, hot=500).collect()}
+    assert len(got) == 5_002 and (got[1].n_bytes, got[1].n_removed) == (20_000_000, 0)
+    assert 200 <= got[2].n_removed <= 204 and got[2].n_spans == 1
+    assert all(got[10 + i].n_removed == 0 for i in range(5_000))
+
+
+@pytest.mark.parametrize("alphabet", [b"ab", bytes(range(0x80))])
+def test_needed_suffixes_and_classes(alphabet):
+    r = random.Random(4)
+    for _ in range(25):
+        strings = [bytes(r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(r.randint(1, 9))]
+        buf = suffix_array.joined(strings)
+        b = buf.tobytes()
+        place, kind = suffix_array.prefix_classes(buf, 7)
+        starts = [i for i in range(len(b)) if 0 not in b[i : i + 7] and len(b) - i > 7]
+        assert sorted(place.tolist()) == starts
+        assert len(set(kind.tolist())) == len({b[i : i + 7] for i in starts}) == len({(b[i : i + 7], k) for i, k in zip(place.tolist(), kind.tolist(), strict=True)})
+
+
+def test_distinct_strings_apart():
+    data = b"abcabcabdab" + bytes(3)
+    firsts, number = suffix_dedup.distinct(suffix_dedup._loads(data, 64), np.array([0, 3, 6, 9, 0]), np.array([3, 3, 3, 2, 2]), np.array([0, 0, 0, 0, 1]))
+    assert number[0] == number[1] and len(set(number.tolist())) == 4 == len(firsts)
+    assert [0, 0, 0, 1] == [[0, 0, 0, 0, 1][i] for i in firsts]
+
+
 @pytest.mark.parametrize("alphabet", [b"a", b"ab", bytes(range(0x80))])
 def test_suffix_array_order(alphabet):
     r = random.Random(3)

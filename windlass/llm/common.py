@@ -57,6 +57,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of at most `rows` rows, so that a Python worker holds few whole texts at a time."""
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 16_000_000) -> None:
+    """Arrow batches of at most `rows` rows and about `size` bytes, so that a Python worker holds few whole texts at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

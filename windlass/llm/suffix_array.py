@@ -56,10 +56,27 @@ def _direct(loads: np.ndarray, left: np.ndarray, at: np.ndarray, depth: int) ->
     return at
 
 
-def suffix_array(buf: np.ndarray, depth: int = 56) -> np.ndarray:
+def _needed(buf: np.ndarray, type_b: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """True for each string's positions up to `last` and from there to the next that is of type B or ends the string.
+
+    A suffix of type A follows from its successor, so these are all that the order of the first ones depends on.
+    """
+    ends = type_b.copy()
+    ends[:-1] |= buf[1:] == 0
+    at = np.flatnonzero(ends & (buf != 0))
+    edge = np.zeros(len(buf) + 1, np.int8)
+    begins = np.r_[0, np.flatnonzero(buf == 0)[:-1] + 1]
+    some = last >= begins
+    np.add.at(edge, begins[some], 1)
+    np.subtract.at(edge, at[np.searchsorted(at, last[some])] + 1, 1)
+    return np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+
+
+def suffix_array(buf: np.ndarray, depth: int = 56, last: np.ndarray | None = None) -> np.ndarray:
     """The positions of joined strings, without the zeros, in the order of their suffixes' first `depth` bytes.
 
-    A suffix ends with its string; those that agree so far stand together in any order.
+    A suffix ends with its string; those that agree so far stand together in any order. With `last`, a position in each
+    string (or one before it for none), only the suffixes up to there and those that their order follows from.
     """
     n = len(buf)
     if not n:
@@ -70,8 +87,13 @@ def suffix_array(buf: np.ndarray, depth: int = 56) -> np.ndarray:
         type_b[: turns[-1] + 1] = np.repeat(buf[turns] < buf[turns + 1], np.diff(turns, prepend=-1))
     zero = buf == 0
     left, loads = _left(buf), _loads(buf)
-    direct = _direct(loads, left, np.flatnonzero(type_b & ~zero), depth)
+    type_b &= ~zero
     type_a = ~type_b & ~zero
+    if last is not None:
+        needed = _needed(buf, type_b, last)
+        type_a &= needed
+        type_b &= needed
+    direct = _direct(loads, left, np.flatnonzero(type_b), depth)
     cuts = np.searchsorted(buf[direct], np.arange(257))
     queues: list[list[np.ndarray]] = [[] for _ in range(256)]
 
@@ -118,11 +140,12 @@ def common_prefixes(buf: np.ndarray, order: np.ndarray, depth: int) -> np.ndarra
     return np.minimum(np.minimum(lcp, short), depth)
 
 
-def prefix_classes(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, class) of every start in the joined strings that has `depth` bytes before it ends, equal bytes sharing a class."""
-    buf = joined(strings)
-    order = suffix_array(buf, depth)
-    order = order[_left(buf)[order] >= depth] if len(order) else order
+def prefix_classes(buf: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, class) of every start in joined strings that has `depth` bytes before its string ends; equal bytes share a class."""
+    if not len(buf):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    order = suffix_array(buf, depth, np.flatnonzero(buf == 0) - depth)
+    order = order[_left(buf)[order] >= depth]
     new = np.ones(len(order), np.int64)
     new[1:] = common_prefixes(buf, order, depth) < depth
     return order, np.cumsum(new) - 1
