@@ -72,6 +72,13 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - have)], h[width - have :]) if width > have else h
 
 
+def _spread(x: np.ndarray) -> np.ndarray:
+    """Least hashes crowd near zero; so do not their images under this one-to-one map, whose first bits are the bucket."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(32))) * _K[0]
+        return x ^ (x >> np.uint64(29))
+
+
 def _loads(data: bytes, room: int) -> np.ndarray:
     """The 8 bytes from every position of data, as numbers; zeros follow it for `room` positions."""
     padded = data + bytes(room + 8)
@@ -147,7 +154,7 @@ class Text:
             last = ok.copy()
             last[:-1] &= ~ok[1:] | first[1:]
             f, t = np.flatnonzero(first), np.flatnonzero(last)
-            key = least[f]
+            key = _spread(least[f])
             if len(hot):
                 hit = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
                 if hit.any():
@@ -216,7 +223,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, texts: bool = True, hot: i
     A byte goes when a span-byte string over it also starts in a row with a smaller doc_id; strings do not cross rows and
     are judged on the input. Null texts are empty. Rows with one doc_id do not remove each other's bytes; a null doc_id
     counts as larger than all others. Only doc_id and text are read. A task holds the text of one file (4,000 rows and
-    16 MB, or one longer text) or of one bucket, whose number grows with the text; minimizers of `hot` runs or more are
+    8 MB, or one longer text) or of one bucket, whose number grows with the text; minimizers of `hot` runs or more are
     spread over all buckets.
     """
     if span < 2 * SHORT:
@@ -326,7 +333,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, texts: bool = True, hot: i
                 hit = _ranges(text.first[part], many)[least < np.repeat(text.ids[text.doc[part]], many)]
                 edge[hit] += 1  # a window stands in one run only
                 edge[hit + span] -= 1
-        gone = np.cumsum(edge[:n]) > 0
+        gone = np.cumsum(edge[:n], dtype=np.int32) > 0
         out: dict[str, list] = {k: [] for k in _OUT}
         for d, s, size in zip(text.ids.tolist(), text.starts.tolist(), text.lengths.tolist(), strict=True):
             g = gone[s : s + size]

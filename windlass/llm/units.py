@@ -21,7 +21,7 @@ class Units:
     The tasks that write them report the files' names in a stored table; a file that a failed task left is never named.
     """
 
-    def __init__(self, docs: DataFrame, rows: int = 4_000, size: int = 16_000_000):
+    def __init__(self, docs: DataFrame, rows: int = 4_000, size: int = 8_000_000):
         spark = docs.sparkSession
         small_batches(spark)
         folder = shared_dir(spark)
