@@ -13,6 +13,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from windlass.llm import exact_dedup, html_blocks, html_extract, html_labelled, jaccard_join, lattice, license_scan, lm_scoring, mixing, pieces, quality, suffix_array, suffix_dedup, warc
 
@@ -246,6 +247,41 @@ def test_sampling_follows_the_lattice_over_runs_of_spaces(text):
         assert abs(seen[w] / 4000 - x / total) < 0.04
 
 
+def test_draws_do_not_depend_on_what_else_is_kept():
+    """With millions of states before it, and a number next to one, a draw still is an edge of its own state."""
+    model = pieces.PieceModel(pieces.MODEL)
+    own = pieces.Sampler(model)
+    r = random.Random(8)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(12)) for _ in range(10)).encode() for _ in range(16_000)]
+    own.rows(list(range(len(texts))), texts)
+    assert len(own.heads) > 2_000_000
+    word = b" w0198001"
+    first, _ = own.sample([5], [word])
+    again, _ = pieces.Sampler(model).sample([5], [word])
+    assert first.tolist() == again.tolist() and model.decode(first.tolist()) == word
+    base, size = int(own.base[own.known[word]]), len(word)
+    for u in (np.nextafter(1.0, 0.0), 1 - 2.0**-35, 0.0):
+        edges = own.draw(base + np.arange(1, size + 1), np.full(size, u))
+        for end, edge in enumerate(edges.tolist(), 1):
+            assert own.heads[base + end] <= edge < own.heads[base + end + 1]
+            assert model.vocabulary.pieces[own.piece[edge]] == word[end - own.back[edge] : end]
+
+
+def test_pieces_of_other_batches_agree(spark, docs):
+    """Equal ids, whatever order and batches the rows come in; long texts are cut where no unit is."""
+    rows = {r.doc_id: r.ids for r in pieces.encode(docs.where("doc_id IS NOT NULL")).collect()}
+    again = pieces.encode(docs.where("doc_id IS NOT NULL").orderBy(F.desc("text")).repartition(5))
+    assert {r.doc_id: r.ids for r in again.collect()} == rows
+    text = ("word  two\n\n  indented é " * 500).encode()
+    own = pieces.sampler(pieces.MODEL)
+    whole = own.rows([3], [text])[0].tolist()
+    size, pieces.PART = pieces.PART, 100
+    try:
+        assert own.rows([3], [text])[0].tolist() == whole and len(list(pieces._parts(text))) > 50
+    finally:
+        pieces.PART = size
+
+
 def test_long_lattice_is_the_lattice():
     model = pieces.PieceModel(pieces.MODEL)
     text = b" " * 19 + b"indented" + "é".encode() * 4

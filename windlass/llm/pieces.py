@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,9 @@ KEPT_UNITS = 250_000
 MARK = "▁"
 #: No piece has a space after another character, or a line feed but alone: lattices of larger stretches factor into these.
 _UNITS = re.compile(rb" *[^ \n]+|\n| +")
+_CUT = re.compile(rb"(?<=[^ \n])[ \n]")
+#: Text bytes that are taken at once.
+PART = 4_000_000
 _INSIDE = re.compile(rb" *[^ \n]*|\n")  # what no cut between units can fall into
 _U = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -105,24 +110,36 @@ def uniforms(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * (1.0 / (1 << 53))
 
 
+class _Numbers(dict):
+    """Unit -> number, in the order of their first look-up."""
+
+    def __missing__(self, unit: bytes) -> int:
+        n = self[unit] = len(self)
+        return n
+
+
 class Sampler:
-    """Draws segmentations of texts from the lattice's distribution given the text."""
+    """Draws segmentations of texts from the lattice's distribution given the text.
+
+    A state is a unit and an end in it. Its incoming edges stand together, the longest first, with the cumulative share of
+    each; a draw is compared with these shares alone, and the last edge takes what is left. So a draw depends on nothing
+    but the unit, the row's key and the place, whichever units are kept beside it.
+    """
 
     def __init__(self, model: PieceModel):
         self.model = model
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = _Numbers()
         self.base, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
-        self.states = 0
-        self.sums, self.back, self.piece, self.ends = np.empty(0), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int64)
+        self.heads = np.zeros(1, np.int64)  # of each state its first edge, and the number of edges
+        self.upto, self.back, self.piece = np.empty(0), np.empty(0, np.int32), np.empty(0, np.int32)
 
     def _learn(self, units: list[bytes]) -> None:
-        """Adds units: for each (unit, end) state its incoming edges with cumulative probabilities, state + share."""
-        number = len(self.known)
+        """Adds the incoming edges of every (unit, end) state with their cumulative shares."""
         base, size = np.empty(len(units), np.int64), np.array([len(u) for u in units], np.int64)
-        states = self.states
+        states = 0
         parts = []
         for at, group in by_length(units):
             if len(group[0]) > LONG:
@@ -143,57 +160,118 @@ class Sampler:
                 with np.errstate(invalid="ignore"):
                     share = np.exp(alpha[i, rows] + self.model.vocabulary.logp[ids] - alpha[j, rows])
                 ok = np.flatnonzero(share > 0)
-                parts.append((base[at[rows[ok]]] + j, share[ok], np.full(len(ok), j - i, np.int32), ids[ok]))
+                parts.append((base[at[rows[ok]]] + j, share[ok], np.full(len(ok), j - i, np.int32), ids[ok].astype(np.int32)))
             states += len(group) * (n + 1)
         state, share, back, piece = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(state, kind="stable")
+        order = np.argsort(state * 256 - np.minimum(back, 255), kind="stable")  # of one state and length there is one piece
         state, share, back, piece = state[order], share[order], back[order], piece[order]
-        total = np.cumsum(share)
-        heads = np.flatnonzero(np.r_[True, state[1:] != state[:-1]])
-        before = np.repeat(total[heads] - share[heads], np.diff(np.r_[heads, len(state)]))
-        tails = np.r_[heads[1:], len(state)] - 1
-        inside = np.minimum((total - before) / np.repeat(total[tails] - before[heads], np.diff(np.r_[heads, len(state)])), 1.0)
-        inside[tails] = 1.0
-        self.sums = np.concatenate([self.sums, state + inside])
-        self.back, self.piece = np.concatenate([self.back, back]), np.concatenate([self.piece, piece.astype(np.int32)])
-        for i, u in enumerate(units):
-            self.known[u] = number + i
-        self.base, self.size, self.states = np.concatenate([self.base, base]), np.concatenate([self.size, size]), states
-
-    def sample(self, keys: list[int], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, number of ids per text); keys are one number per text."""
+        heads = np.searchsorted(state, np.arange(states + 1))
+        upto = share.copy()
+        at, many = heads[:-1][np.diff(heads) > 1], np.diff(heads)[np.diff(heads) > 1]
+        for k in range(1, int(many.max(initial=0))):  # sums within each state only, in their order
+            at, many = at[many > k], many[many > k]
+            upto[at + k] += upto[at + k - 1]
+        upto[heads[1:][np.diff(heads) > 0] - 1] = np.inf
+        self.base, self.size = np.concatenate([self.base, base + len(self.heads) - 1]), np.concatenate([self.size, size])
+        self.heads = np.concatenate([self.heads[:-1], heads + self.heads[-1]])
+        self.upto, self.back, self.piece = (np.concatenate(x) for x in ((self.upto, upto), (self.back, back), (self.piece, piece)))
+
+    def draw(self, state: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The edge of each state whose share of [0, 1) holds u."""
+        edge = self.heads[state]
+        over = np.flatnonzero(u >= self.upto[edge])
+        while len(over):
+            edge[over] += 1
+            over = over[u[over] >= self.upto[edge[over]]]
+        return edge
+
+    def sample(self, keys: list[int], texts: list[bytes], before: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids per text); keys are one number per text, `before` its place in its row."""
         split = [_UNITS.findall(t) for t in texts]
-        fresh = {u for s in split for u in s if u not in self.known}
-        if len(self.known) + len(fresh) > KEPT_UNITS:
-            self._reset()
-            fresh = {u for s in split for u in s}
-        if fresh:
-            self._learn(sorted(fresh))
         per = np.array([len(s) for s in split], np.int64)
         n = int(per.sum())
-        unit = np.fromiter((self.known[u] for s in split for u in s), np.int64, n)
+        if len(self.known) > KEPT_UNITS:
+            self._reset()
+        had = len(self.known)
+        unit = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, n)
+        del split
+        if len(self.known) > had:
+            try:
+                self._learn(list(islice(self.known, had, None)))
+            except Exception:  # a worker's next task finds no unit without its edges
+                self._reset()
+                raise
         key = np.repeat(np.array(keys, np.uint64), per)
         sizes = self.size[unit]
         at = np.cumsum(sizes) - sizes
         at -= np.repeat(at[np.minimum(np.cumsum(per) - per, max(n - 1, 0))], per) if n else 0  # a unit's first byte in its text
+        if before is not None:
+            at += np.repeat(np.array(before, np.int64), per)
         end, base = sizes.copy(), self.base[unit]
         live = np.arange(n)
         drawn: list[tuple[np.ndarray, np.ndarray]] = []
         count = np.zeros(n, np.int64)
         while len(live):  # backward sampling: one edge of every unit that is not at its start
-            state = base[live] + end[live]
-            edge = np.searchsorted(self.sums, state + uniforms(key[live], at[live] + end[live]), side="right")
+            edge = self.draw(base[live] + end[live], uniforms(key[live], at[live] + end[live]))
             drawn.append((live, self.piece[edge]))
             count[live] += 1
             end[live] -= self.back[edge]
             live = live[end[live] > 0]
-        first = np.cumsum(count) - count
+        last = np.cumsum(count) - 1
         out = np.empty(int(count.sum()), np.int32)
         for step, (who, piece) in enumerate(drawn):
-            out[first[who] + count[who] - 1 - step] = piece
+            out[last[who] - step] = piece
         lengths = np.bincount(np.repeat(np.arange(len(texts)), per), count, len(texts)).astype(np.int64) if n else np.zeros(len(texts), np.int64)
         return self.model.numbers[out], lengths
 
+    def rows(self, keys: list[int], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As sample(), of texts of any length: long ones are taken in parts that no unit crosses."""
+        parts = [(i, keys[i], a, t[a:b]) for i, t in enumerate(texts) for a, b in _parts(t)]
+        ids, counts, have = [], np.zeros(len(texts), np.int64), 0
+        group: list[tuple[int, int, int, bytes]] = []
+        for k, part in enumerate(parts):
+            group.append(part)
+            have += len(part[3])
+            if have >= PART or k == len(parts) - 1:
+                got, per = self.sample([g[1] for g in group], [g[3] for g in group], [g[2] for g in group])
+                ids.append(got)
+                np.add.at(counts, [g[0] for g in group], per)
+                group, have = [], 0
+        return (np.concatenate(ids) if ids else np.empty(0, np.int32)), counts
+
+
+def _parts(text: bytes) -> Iterator[tuple[int, int]]:
+    """(from, to) of stretches of about PART bytes; each but the last ends before a space or line feed that follows neither."""
+    a = 0
+    while len(text) - a > PART and (cut := _CUT.search(text, a + PART)):
+        yield a, cut.start()
+        a = cut.start()
+    yield a, len(text)
+
+
+@lru_cache(maxsize=2)
+def sampler(model_path: str) -> Sampler:
+    """A worker's sampler, which its tasks share."""
+    return Sampler(PieceModel(model_path))
+
+
+class Decoder:
+    """Ids to bytes, many at once."""
+
+    def __init__(self, model: PieceModel):
+        self.flat = np.frombuffer(b"".join(model.vocabulary.pieces), np.uint8)
+        width = np.array([len(p) for p in model.vocabulary.pieces], np.int64)
+        self.start, self.size = np.zeros(int(model.numbers.max()) + 1, np.int64), np.zeros(int(model.numbers.max()) + 1, np.int64)
+        self.start[model.numbers], self.size[model.numbers] = np.cumsum(width) - width, width
+
+    def bytes_of(self, ids: np.ndarray, at_once: int = 1_000_000) -> bytes:
+        out = []
+        for a in range(0, len(ids), at_once):
+            start, size = self.start[ids[a : a + at_once]], self.size[ids[a : a + at_once]]
+            place = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+            out.append(self.flat[place].tobytes())
+        return b"".join(out)
+
 
 def row_key(doc_id: int | None, seed: int = SEED) -> int:
     return int.from_bytes(hashlib.blake2b(f"{'' if doc_id is None else doc_id}:{seed}".encode(), digest_size=8).digest(), "little")
@@ -207,13 +285,13 @@ def encode(docs: DataFrame, model_path: str = MODEL, seed: int = SEED) -> DataFr
     key of its own. Whole texts are encoded; a text of any length is held once. Only doc_id and text are read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 2_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(PieceModel(model_path))
+        own = sampler(model_path)
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            ids, per = sampler.sample([row_key(i, seed) for i in names], texts)
+            ids, per = own.rows([row_key(i, seed) for i in names], texts)
             ends = np.r_[0, np.cumsum(per)].astype(np.int32)
             digests = [hashlib.sha256(t).hexdigest() for t in texts]
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
@@ -239,25 +317,23 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
 def round_trip(docs: DataFrame, model_path: str = MODEL, seed: int = SEED, with_ids: bool = False) -> DataFrame:
     """encode() and decode() in one pass: doc_id, n_bytes, n_pieces, pieces_sha256 (of the ids as little-endian int32),
     text_sha256 (of the decoded text), lossless, and ids if asked for. Defined for all rows as encode() is."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = PieceModel(model_path)
-        sampler = Sampler(model)
-        width = np.array([len(p) for p in model.vocabulary.pieces])
-        longest = int(width.max())
-        table = np.zeros((int(model.numbers.max()) + 1, longest), np.uint8)
-        sizes = np.zeros(len(table), np.int64)
-        for number, piece in zip(model.ids, model.vocabulary.pieces, strict=True):
-            table[number, : len(piece)] = np.frombuffer(piece, np.uint8)
-            sizes[number] = len(piece)
+        own = sampler(model_path)
+        decoder = Decoder(own.model)
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            ids, per = sampler.sample([row_key(i, seed) for i in names], texts)
+            ids, per = own.rows([row_key(i, seed) for i in names], texts)
+            ends = np.r_[0, np.cumsum(per)]
+            decoded = decoder.bytes_of(ids)  # of the whole batch: its texts one after another
             out: list[tuple] = []
-            for i, t, x in zip(names, texts, np.split(ids, np.cumsum(per)[:-1]), strict=True):
-                got = table[x][np.arange(longest) < sizes[x][:, None]].tobytes()  # the pieces' bytes, one after another
-                out.append((i, len(t), len(x), hashlib.sha256(x.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(got).hexdigest(), got == t))
+            at = 0
+            for i, t, x, y in zip(names, texts, ends.tolist(), ends[1:].tolist(), strict=False):
+                size = int(decoder.size[ids[x:y]].sum())
+                got = decoded[at : at + size]
+                at += size
+                out.append((i, len(t), y - x, hashlib.sha256(ids[x:y].astype("<i4").tobytes()).hexdigest(), hashlib.sha256(got).hexdigest(), got == t))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
             columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
             names = ["doc_id", "n_bytes", "n_pieces", "pieces_sha256", "text_sha256", "lossless"]
