@@ -1,17 +1,20 @@
 """N-gram Jaccard join by T-occurrence search: short inverted lists are merged, long ones probed (DivideSkip).
 
-A set's shingles have one global order: by the length class of their inverted lists, counted over all documents, then by
-hash. A set of n shingles that is to share T = ceil(t * n) of them with another shares one of its first n - T + 1; these
-are its short lists, the others its long ones. A list of one document is never sent, so a document with n - T + 1
-shingles of its own costs nothing further. The short lists are merged by a shuffle on the shingle. Every list names its
-smallest document as centre, so a list of m documents yields m - 1 (centre, document) candidates and not m * m.
-Documents linked with their centre are in its class; only the rest of a centre's documents are compared further, in
-blocks of bounded size.
+Candidates. A set's shingles have one global order: by the length class of their inverted lists, counted over all
+documents, then by hash. A set of n shingles that is to share T = ceil(t * n) of them with another shares one of its first
+n - T + 1; these are its short lists, the other T - 1 its long ones. A list of one document is never sent, so a document
+with n - T + 1 shingles of its own costs nothing further. The short lists are merged by a shuffle on the shingle. Every list
+names its smallest document as centre, so a list of m documents yields m - 1 (centre, document) candidates and not m * m.
+
+Search. The candidates are dealt to partitions of documents with inverted lists of their whole sets; each query merges its
+short lists there on a heap, probes its long ones and retains what reaches the required overlap. Documents linked with
+their centre are in its class; only the rest of a centre's documents are compared further, in blocks of bounded size.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -30,6 +33,10 @@ WORDS, NUM, DEN = 3, 9, 10
 BUCKET_BYTES = 8_000_000
 #: Documents of a centre in one comparison block, on either side.
 BLOCK = 128
+#: Candidates of a query in one partition of documents, and bytes of their sets.
+PART, PART_BYTES = 256, 16_000_000
+#: DivideSkip's weight of a probe against a merge step: T / (MU * log2(longest list) + 1) lists are long. It changes no result.
+MU = 0.01
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -115,40 +122,56 @@ def needed(n: int, m: int, num: int, den: int) -> int:
     return (num * (n + m) + den + num - 1) // (den + num)
 
 
-def divide_skip(query: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """T-occurrence search: (position, overlap) of the sets that reach the overlap that they need with the query.
-
-    The inverted lists of the query's shingles over `sets` are divided: the T - 1 longest are long, T being the least
-    overlap that any partner needs. The short ones are merged on a heap; what turns up there is looked up in the long
-    ones by binary search, until its overlap can no longer be reached.
-    """
-    n = len(query)
-    if not n or not sets:
-        return []
-    found = [np.searchsorted(s, query) for s in sets]
-    lists: list[list[int]] = [[] for _ in range(n)]
-    for i, (s, at) in enumerate(zip(sets, found, strict=True)):
-        if len(s):
-            for k in np.flatnonzero(s[np.minimum(at, len(s) - 1)] == query).tolist():
-                lists[k].append(i)
-    lists.sort(key=len)
-    short = lists[: prefix_length(n, num, den)]
-    long = lists[len(short) :]
-    counts: dict[int, int] = {}
-    for i in heapq.merge(*short):
-        counts[i] = counts.get(i, 0) + 1
-    hits = []
-    for i, got in counts.items():
-        t, left = needed(n, len(sets[i]), num, den), len(long)
-        for ids in long:
-            if got + left < t:
-                break
-            at = bisect_left(ids, i)
-            got += at < len(ids) and ids[at] == i
-            left -= 1
-        if got >= t:
-            hits.append((i, got))
-    return hits
+class Inverted:
+    """The inverted lists of a partition of documents: every shingle's documents, ascending."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        heads = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.empty(0, np.int64)
+        self.shingles, self.ends = flat[heads], np.r_[heads, len(flat)]
+        self.owners = owners[order].tolist()
+        self.sizes = [len(s) for s in sets]
+
+    def search(self, query: np.ndarray, num: int, den: int, among: set[int] | None = None) -> list[tuple[int, int]]:
+        """T-occurrence search: (document, overlap) of those that reach the overlap that they need with the query.
+
+        T is the least overlap that any partner needs. Of the query's lists the longest are long, at most T - 1 of them,
+        and as many as DivideSkip's rule says. The short ones are merged on a heap; a document that they have T - long
+        times or more is looked up in the long ones by binary search, until its overlap is out of reach. With `among`,
+        only these documents are asked about.
+        """
+        n = len(query)
+        if not n or not len(self.shingles):
+            return []
+        at = np.minimum(np.searchsorted(self.shingles, query), len(self.shingles) - 1)
+        at = at[self.shingles[at] == query]
+        least = max(1, -(-num * n // den))
+        if len(at) < least:
+            return []
+        lists = sorted(zip(self.ends[at].tolist(), self.ends[at + 1].tolist(), strict=True), key=lambda x: x[1] - x[0])
+        most = lists[-1][1] - lists[-1][0]
+        long = min(least - 1, int(least / (MU * math.log2(most + 1) + 1)))
+        cut = len(lists) - long
+        owners, counts = self.owners, {}
+        for i in heapq.merge(*[owners[x:y] for x, y in lists[:cut]]):
+            counts[i] = counts.get(i, 0) + 1
+        hits = []
+        for i, got in counts.items():
+            if got < least - long or (among is not None and i not in among):
+                continue
+            t, left = needed(n, self.sizes[i], num, den), long
+            for x, y in lists[cut:]:
+                if got + left < t:
+                    break
+                place = bisect_left(owners, i, x, y)
+                got += place < y and owners[place] == i
+                left -= 1
+            if got >= t:
+                hits.append((i, got))
+        return hits
 
 
 def _texts(batch: pa.RecordBatch, col: int) -> list[bytes]:
@@ -236,7 +259,12 @@ def describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Of pairs (a, b) those that link, by DivideSkip over the whole sets: each a against the b's that stand with it."""
+    """Of candidate pairs (a, b) those that link, found by T-occurrence search over inverted lists of the whole sets.
+
+    The a's are queries. Their b's are dealt to partitions of bounded size, each with inverted lists of its own; a query
+    with more than PART candidates is put to several partitions. A set travels once for every partition that it is in.
+    """
+    pairs = stored(pairs)
     ids = stored(pairs.select(F.col("a").alias("__id")).union(pairs.select("b")).distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,22 +275,30 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Dat
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(checked_broadcast(ids), F.col("doc_id") == F.col("__id"), "left_semi")
     whole = stored(rows.mapInArrow(sets, "id long, s binary").groupBy("id").agg(F.min("s").alias("s")))
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            sa, sb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            groups: dict[int, list[int]] = {}
-            for i, x in enumerate(a.tolist()):
-                groups.setdefault(x, []).append(i)
-            hits = []
-            for at in groups.values():
-                found = divide_skip(np.frombuffer(sa[at[0]], np.uint64), [np.frombuffer(sb[i], np.uint64) for i in at], num, den)
-                hits += [at[i] for i, _ in found]
-            yield pa.record_batch([pa.array(a[hits]), pa.array(b[hits])], ["a", "b"])
-
-    one = pairs.join(whole.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    two = one.join(whole.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb")
-    return stored(two.mapInArrow(search, "a long, b long"))
+    sizes = whole.select(F.col("id").alias("b"), F.length("s").alias("size"))
+    each = pairs.join(sizes, "b").groupBy("a").agg(F.count("*").alias("m"), F.sum("size").alias("bytes"))
+    parts = each.select("a", F.greatest(F.ceil(F.col("m") / PART), F.ceil(F.col("bytes") / PART_BYTES)).cast("int").alias("parts"))
+    cells = max(1, pairs.count() // PART)
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("a"), F.lit(cells)).alias("cell"), F.pmod(F.xxhash64("b", "a"), F.col("parts")).cast("int").alias("part"))
+    # A query with several partitions has these to itself; the others share a cell's only one.
+    dealt = stored(dealt.join(parts.where("parts > 1").select("a", F.lit(True).alias("alone")), "a", "left").select("a", "b", "cell", "part", F.when(F.col("alone"), F.col("a")).alias("own")))
+    asks = dealt.groupBy("cell", "part", "own", F.col("a").alias("id")).agg(F.collect_list("b").alias("among"))  # about PART of them
+    tells = dealt.select("cell", "part", "own", F.col("b").alias("id")).distinct().withColumn("among", F.lit(None).cast("array<long>"))
+
+    def search(key: tuple, group: pa.Table) -> pa.Table:
+        names, among = group.column("id").to_pylist(), group.column("among").to_pylist()
+        found = [np.frombuffer(x, np.uint64) for x in group.column("s").to_pylist()]
+        told = [i for i, x in enumerate(among) if x is None]
+        index, place = Inverted([found[i] for i in told]), {names[i]: j for j, i in enumerate(told)}
+        out: list[tuple[int, int]] = []
+        for i, x in enumerate(among):
+            if x is not None:
+                out += [(names[i], names[told[j]]) for j, _ in index.search(found[i], num, den, {place[b] for b in x})]
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    both = asks.unionByName(tells).join(whole, "id")
+    return stored(both.groupBy("cell", "part", "own").applyInArrow(search, "a long, b long"))
 
 
 def _star_candidates(members: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -321,18 +357,19 @@ def _block_candidates(blocks: DataFrame, num: int, den: int, forest: bool) -> Da
 def _blocks(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
     """Comparison blocks (c, i, j): of each centre with documents outside its class, those (dealt to i) beside all (dealt to j).
 
-    A centre's documents are dealt to ceil(m / BLOCK) parts by hash, so no block outgrows its task.
+    A centre's m documents are dealt to ceil(m / BLOCK) parts by hash, the q outside its class to ceil(q / BLOCK), so no
+    block outgrows its task and a document meets only as many blocks as there are documents left to ask.
     """
     named = members.join(labels.select(F.col("node").alias("rep"), F.col("component").alias("l")), "rep", "left").withColumn("label", F.coalesce("l", "rep")).drop("l")
     centre = labels.select(F.col("node").alias("c"), F.col("component").alias("cl"))
     named = named.join(centre, "c", "left").withColumn("asks", F.col("label") != F.coalesce("cl", "c")).drop("cl")
-    per = named.groupBy("c").agg(F.count("*").alias("m"), F.max("asks").alias("any")).where("any AND m > 1")
-    per = per.select("c", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
+    per = named.groupBy("c").agg(F.count("*").alias("m"), F.count_if("asks").alias("q")).where("q > 0 AND m > 1")
+    per = per.select("c", *[F.ceil(F.col(x) / BLOCK).cast("int").alias(y) for x, y in (("m", "parts"), ("q", "ask_parts"))])
     rows = named.join(per, "c").join(reps.select("rep", "n", "bits"), "rep")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("rep", "c"), F.col("parts")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    ask = rows.where("asks").select("c", F.col("part").alias("i"), others.alias("j"), "rep", "n", "bits", "label", F.lit(True).alias("asks"))
-    told = rows.select("c", others.alias("i"), F.col("part").alias("j"), "rep", "n", "bits", "label", F.lit(False).alias("asks"))
+    deal = lambda into: F.pmod(F.xxhash64("rep", "c"), F.col(into)).cast("int")
+    every = lambda into: F.explode(F.sequence(F.lit(0), F.col(into) - 1))
+    ask = rows.where("asks").select("c", deal("ask_parts").alias("i"), every("parts").alias("j"), "rep", "n", "bits", "label", F.lit(True).alias("asks"))
+    told = rows.select("c", every("ask_parts").alias("i"), deal("parts").alias("j"), "rep", "n", "bits", "label", F.lit(False).alias("asks"))
     return ask.union(told)
 
 
