@@ -195,7 +195,10 @@ def test_divide_skip_is_exact():
         q = np.unique(r.integers(0, 60, r.integers(1, 40)).astype(np.uint64))
         sets = [np.unique(np.r_[q[r.uniform(size=len(q)) < 0.95], r.integers(0, 80, r.integers(0, 4))].astype(np.uint64)) for _ in range(12)]
         want = {(i, len(np.intersect1d(q, s))) for i, s in enumerate(sets) if len(np.intersect1d(q, s)) >= jaccard_join.needed(len(q), len(s), 9, 10) and 10 * len(np.intersect1d(q, s)) >= 9 * len(np.union1d(q, s))}
-        assert set(jaccard_join.divide_skip(q, sets, 9, 10)) == want
+        index = jaccard_join.Inverted(sets)
+        assert set(index.search(q, 9, 10)) == want
+        assert set(index.search(q, 9, 10, {1, 5})) == {x for x in want if x[0] in (1, 5)}
+    assert jaccard_join.Inverted([]).search(q, 9, 10) == [] == jaccard_join.Inverted([q]).search(q[:0], 9, 10)
 
 
 def test_jaccard_empty(empty):
@@ -308,9 +311,17 @@ def cells(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     signed = lambda h: h - (1 << 64) if h >> 63 else h
     one = lambda s, seed: xxhash.xxh64_intdigest(s.encode(), seed)
-    ends = [x[-3:] for x in w]
-    out = [signed(one(e, 42)) % quality.BUCKETS for e in ends]
-    return out + [signed(one(b[-2:], one(a[-2:], 42))) % quality.BUCKETS for a, b in zip(ends, ends[1:], strict=False)]
+    out = [signed(one(x, 42)) % quality.BUCKETS for x in w]
+    return out + [signed(one(b, one(a, 42))) % quality.BUCKETS for a, b in zip(w, w[1:], strict=False)]
+
+
+def test_quality_reads_whole_words(spark):
+    """Texts whose words differ at their beginnings only have ratios of their own."""
+    good = " ".join(f"fine{i}able" for i in range(60))
+    poor = good.replace("fine", "poor")
+    docs = spark.createDataFrame([(i, good if i < 5 else poor) for i in range(10)], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.quality_rules(docs, spark.createDataFrame([(0, 1, 0), (1, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int")).collect()}
+    assert got[4].llr > got[9].llr + 0.5
 
 
 def test_quality_rules(spark, docs, empty):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import NON_SPACE, SPACES, text_of
 
 #: Cells of either multinomial; n-grams are hashed into them, so both stay this small at any input size.
-BUCKETS = 4096
+BUCKETS = 1 << 18
 #: Pseudo-count of a cell in either multinomial.
 SMOOTHING = 1.0
 #: A document is rejected when its mean log ratio per n-gram is below this.
@@ -32,11 +32,10 @@ def _bucket(*parts: Column) -> Column:
 
 
 def _with_ngrams(rows: DataFrame) -> DataFrame:
-    """Adds __g, the cells of a text's n-grams: every word's last three characters, and every two neighbours' last two."""
-    ends = rows.withColumn("__e", F.transform("__w", lambda w: F.right(w, F.lit(3))))
-    n = F.size("__e")
-    pairs = F.transform(F.slice("__e", 2, F.greatest(n - 1, F.lit(0))), lambda e, i: _bucket(F.right(F.get("__e", i), F.lit(2)), F.right(e, F.lit(2))))
-    return ends.withColumn("__g", F.concat(F.transform("__e", lambda e: _bucket(e)), pairs)).drop("__e")
+    """Adds __g, the cells of a text's n-grams: its words and its pairs of neighbouring words, whole."""
+    n = F.size("__w")
+    pairs = F.transform(F.slice("__w", 2, F.greatest(n - 1, F.lit(0))), lambda w, i: _bucket(F.get("__w", i), w))
+    return rows.withColumn("__g", F.concat(F.transform("__w", lambda w: _bucket(w)), pairs))
 
 
 def trusted_ids(labels: DataFrame, bound: int = TRUSTED_ROWS) -> DataFrame:
