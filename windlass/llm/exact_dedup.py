@@ -2,38 +2,33 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, checked_broadcast, shared_dir, stored, text_of
 
-#: Directory bits: a histogram of at most 2**DEPTH cells is all that reaches the driver, at any input size.
-DEPTH = 12
-#: A bucket with more distinct keys than this is split while the directory may still double.
-CAPACITY = 20_000
+#: A bucket with more distinct keys than this is split.
+CAPACITY = 50_000
 
 
-def build_directory(cells: dict[int, int], capacity: int = CAPACITY, depth: int = DEPTH) -> tuple[int, dict[int, tuple[int, int]]]:
-    """Extendible hashing over a histogram of `depth`-bit key prefixes.
+def directory_of(cells: DataFrame, depth: int, capacity: int = CAPACITY) -> DataFrame:
+    """Extendible hashing over the numbers n of distinct keys per cell, a `depth`-bit prefix of the keys: (cell, local, bucket).
 
-    Starting from one bucket of local depth 0, each overfull bucket splits by one more bit; when a bucket's local depth
-    passes the directory's, the directory doubles. Returns the global depth and, per cell, (local depth, bucket prefix).
-    Keys that agree in all `depth` bits share a bucket, however full; the owner's chains keep them apart.
+    From one bucket of local depth 0, an overfull bucket splits by one more bit, and the directory doubles where that
+    passes its depth; so a cell's bucket is its shortest prefix with no more keys than the capacity. Cells that are
+    overfull at full depth stay whole, and chains keep their keys apart. Buckets are numbered 2**local + prefix.
     """
-    owner: dict[int, tuple[int, int]] = {}
-    global_depth, todo = 0, [(0, 0, sorted(cells))]
-    while todo:
-        local, prefix, inside = todo.pop()
-        if local < depth and sum(cells[c] for c in inside) > capacity:
-            bit = depth - local - 1
-            todo += [(local + 1, prefix << 1 | side, [c for c in inside if (c >> bit) & 1 == side]) for side in (0, 1)]
-            global_depth = max(global_depth, local + 1)
-        else:
-            owner.update({c: (local, prefix) for c in inside})
-    return global_depth, owner
-
-
-def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, depth: int = DEPTH) -> DataFrame:
+    steps = cells.select("cell", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("local"))
+    steps = steps.withColumn("bucket", F.expr(f"shiftleft(1L, local) + shiftrightunsigned(cell, {depth} - local)"))
+    fits = steps.groupBy("bucket").agg(F.sum("n").alias("total")).where(F.col("total") <= capacity).select("bucket")
+    deepest = F.expr(f"shiftleft(1L, {depth}) + cell")
+    found = steps.join(fits, "bucket").groupBy("cell").agg(F.min_by(F.struct("local", "bucket"), "local").alias("b"))
+    return cells.select("cell").join(found, "cell", "left").select("cell", F.coalesce("b.local", F.lit(depth)).alias("local"), F.coalesce("b.bucket", deepest).alias("bucket"))
+
+
+def exact_dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after deleting ASCII white space; null counts as empty. Of equal texts the row with
@@ -41,7 +36,8 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, depth: int = DEPTH) -
     it with an equal text count in group_size and share one decision. An empty table gives an empty result; columns
     other than doc_id and text are not read.
 
-    1. Entries (key hash, digest, lengths, doc_id) of all rows; a histogram of key prefixes builds the directory.
+    1. Entries (key hash, digest, lengths, doc_id) of all rows; the counts of key prefixes build the directory, whose depth
+       grows with the number of rows.
     2. The entries go to the buckets' files in the shared folder; REBALANCE lets the engine split a hot bucket.
     3. Owner tasks read the key ranges and count each key's chain; map-side combine folds a hot key first.
     4. Texts of keys that occur twice or more are grouped by (key, text), which compares their bytes and keeps colliding
@@ -55,17 +51,16 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, depth: int = DEPTH) -
             "doc_id", "n_cp", F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("text_sha256")
         )
     )
-    cell = F.shiftrightunsigned("h", 64 - depth).cast("int")
-    keys = entries.select("h").distinct().select(cell.alias("cell"))
-    cells = {r["cell"]: r["n"] for r in keys.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most 2**depth
-    _, owner = build_directory(cells, capacity, depth)
-    numbers = {b: i for i, b in enumerate(sorted(set(owner.values()), key=lambda b: b[1] << (depth - b[0])))}
-    directory = spark.createDataFrame([(c, numbers[b]) for c, b in sorted(owner.items())], "cell int, bucket int")
+    # Eight times as many cells as full buckets: the depth grows with the input, and the directory stays in tables.
+    depth = max(1, math.ceil(math.log2(max(1, entries.count()) / capacity + 1)) + 3)
+    cell = F.shiftrightunsigned("h", 64 - depth)
+    cells = entries.select("h").distinct().groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
+    directory = stored(directory_of(stored(cells), depth, capacity).select("cell", "bucket"))
 
     path = shared_dir(spark)
-    placed = entries.withColumn("cell", cell).join(F.broadcast(directory), "cell").drop("cell")  # at most 2**depth rows
+    placed = entries.withColumn("cell", cell).join(checked_broadcast(directory), "cell").drop("cell")
     placed.hint("rebalance", "bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(path)
-    index = spark.read.schema("doc_id long, n_cp int, h long, text_sha256 string, bucket int").parquet(path)
+    index = spark.read.schema("doc_id long, n_cp int, h long, text_sha256 string, bucket long").parquet(path)
 
     chains = index.groupBy("bucket", "h").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "h")
     repeated = stored(index.join(checked_broadcast(stored(chains)), ["bucket", "h"], "left_semi").select(F.col("doc_id").alias("__id")).distinct())
