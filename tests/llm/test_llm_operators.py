@@ -8,6 +8,7 @@ import math
 import random
 import re
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -89,6 +90,46 @@ def test_lm_scores(docs, empty):
     assert lm_scoring.score_texts(empty).count() == 0
 
 
+def test_lm_score_is_the_model(spark):
+    """score against plain recursions: two rounds of expectation-maximisation, then all segmentations and the whole word."""
+    pieces_, ranks = lattice.load_ranked(lm_scoring.VOCABULARY)
+    start = dict(zip(pieces_, lattice.rank_weights(ranks).tolist(), strict=True))
+    longest = max(map(len, pieces_))
+    rows = [(i, " ".join(WORDS[(i * k) % 60] for k in range(1, 8 + i))) for i in range(40)]
+    train = [w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in t.lower().encode().split()]
+    ends, counts = sum(1 for i, _ in rows if zlib.crc32(str(i).encode()) % 10), collections.Counter(train)
+    add = lambda xs: max(xs) + math.log(math.fsum(math.exp(x - max(xs)) for x in xs)) if xs else -math.inf
+
+    def sums(s, logp, ahead):
+        out = {len(s) if ahead else 0: 0.0}
+        for j in range(len(s) - 1, -1, -1) if ahead else range(1, len(s) + 1):
+            near = range(j + 1, min(len(s), j + longest) + 1) if ahead else range(max(0, j - longest), j)
+            out[j] = add([out[k] + logp[s[min(j, k) : max(j, k)]] for k in near if s[min(j, k) : max(j, k)] in logp and out[k] > -math.inf])
+        return out
+
+    logp = start
+    for _ in range(lm_scoring.ROUNDS):
+        uses = collections.Counter()
+        for w in counts:
+            s = b" " + w
+            fore, after = sums(s, logp, False), sums(s, logp, True)
+            for i in range(len(s)):
+                for j in range(i + 1, len(s) + 1):
+                    if s[i:j] in logp and fore[i] + after[j] > -math.inf:
+                        uses[s[i:j]] += lm_scoring.DISCOUNT * math.exp(fore[i] + logp[s[i:j]] + after[j] - fore[len(s)])
+        mass = {p: uses[p] + lm_scoring.PRIOR * math.exp(x) for p, x in start.items()}
+        total = math.fsum(mass.values())
+        logp = {p: math.log(x / total) for p, x in mass.items()}
+    n = len(train) + ends
+
+    def word(w):
+        return math.log10((lm_scoring.DISCOUNT * len(counts) * math.exp(sums(b" " + w, logp, False)[len(w) + 1]) + max(counts[w] - lm_scoring.DISCOUNT, 0.0)) / n)
+
+    got = {r.doc_id: r for r in lm_scoring.score_texts(spark.createDataFrame([*rows, (114, "unseen zebra")], "doc_id long, text string")).collect()}
+    for i, t in [*rows, (114, "unseen zebra")]:
+        assert got[i].score == pytest.approx(math.fsum(word(w) for w in t.lower().encode().split()) + math.log10(ends / n), rel=1e-6)
+
+
 def test_lattice_is_the_sum_over_segmentations():
     words = [b"a", b"b", b"ab", b"ba", b"aba", b"bab"]
     p = np.log(np.array([0.3, 0.25, 0.2, 0.1, 0.1, 0.05]))
@@ -120,6 +161,37 @@ def test_html_extraction(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_html_of_the_article_that_is_no_prose():
+    """Formulas, fallbacks and scripts' replacements are text; the content of scripts, styles and form controls is not."""
+    page = "<article><p>Let <math><mi>x</mi></math> be it.</p><noscript><p>Plain words.</p></noscript><p>A <object>fallback</object> <svg><text>label</text></svg></p><select><option>No</select><textarea>No</textarea><style>p{}</style></article>"
+    assert [b.text for b in html_blocks.blocks_of(page)] == ["Let x be it.", "Plain words.", "A fallback label"]
+
+
+def test_html_open_quotes_hide_no_more_than_their_tag():
+    texts = lambda page: [b.text for b in html_blocks.blocks_of(page)]
+    assert texts('<p><a href="q>z</a> and more</p>') == ["z and more"]
+    assert texts("<p title='a > b'>x</p><p class=it's>y</p>") == ["x", "y"]
+    assert texts('<p a="1>2" b>c</p>') == ["c"]
+    assert texts("1 < 2 <b>and</b> <3 </> <!x> <!-- <p>no</p> --> 4 <p") == ["1 < 2 and <3 </> 4 <p"]
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a b=\"", "<a b='x\" ", "<div><b>", "</x>", "<p>word ", "<!-", "<!x ", "<script>", "&", "<i></p>"])
+def test_html_pages_of_a_megabyte(part):
+    begin = time.time()
+    html_blocks.blocks_of("<p>x</p>" + part * (1_000_000 // len(part)))
+    html_blocks.blocks_of("<p>x</p>" + part * (1_000_000 // len(part)) + ">\"'>")
+    assert time.time() - begin < 30
+
+
+def test_html_of_another_layout():
+    """A page of tables and generic elements, as none that the model learned from."""
+    body = "".join(f"<p>This is paragraph number {i}, with some clauses, and it says a thing or two about the matter at hand.</p>" for i in range(6))
+    page = f"<html><body><div id=top class='nav-bar'><a href=/a>Home</a> <a href=/b>About</a></div><table><tr><td><div class='post-content'>{body}</div></td></tr></table><div class=comments><p>Nice one! <a href=/u>user7</a></p></div><div class=footer>Copyright 2020, all rights reserved</div></body></html>"
+    got = [b.text for b in html_extract.main_blocks(page, html_extract.default_chain())]
+    assert [t for t in got if t.startswith("This is paragraph")] == [b.text for b in html_blocks.blocks_of(body)]
+    assert not any("Copyright" in t or "Home" in t for t in got)
+
+
 def test_html_held_out_accuracy():
     chain = html_extract.default_chain()
     right = total = 0
@@ -459,15 +531,15 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
-def test_directory_splits_until_buckets_fit():
-    cells = {i: 10 for i in range(16)} | {3: 100}
-    depth, owner = exact_dedup.build_directory(cells, capacity=25, depth=4)
-    assert depth == 4 and set(owner) == set(cells)
-    sizes = collections.Counter()
-    for c, (local, prefix) in owner.items():
-        assert c >> (4 - local) == prefix
-        sizes[local, prefix] += cells[c]
-    assert all(n <= 25 or local == 4 for (local, _), n in sizes.items())
+@pytest.mark.parametrize(("capacity", "depth"), [(25, 4), (1, 4), (10_000, 4), (3, 1)])
+def test_directory_splits_until_buckets_fit(spark, capacity, depth):
+    sizes = {i: 10 for i in range(1 << depth)} | {1: 100}
+    rows = exact_dedup.directory_of(spark.createDataFrame(list(sizes.items()), "cell long, n long"), depth, capacity).collect()
+    assert {r.cell for r in rows} == set(sizes)
+    total = lambda local, prefix: sum(n for c, n in sizes.items() if c >> (depth - local) == prefix)
+    for r in rows:
+        want = next((k for k in range(depth + 1) if total(k, r.cell >> (depth - k)) <= capacity), depth)
+        assert (r.local, r.bucket) == (want, (1 << want) + (r.cell >> (depth - want)))
 
 
 def brute_repeats(rows, span=50):
