@@ -79,10 +79,15 @@ def certainty_factor(error: Column) -> Column:
     return F.greatest(F.lit(0.4), F.exp(error * (-F.log(F.lit(2.5)) / 360.0)))
 
 
-def overlap_score(share: Column, n: Column, threshold: float) -> Column:
-    """Squared share beyond the threshold, growing slowly with the points behind it; -1 below the threshold."""
+def overlap_score(share: Column, n: Column, threshold: float, least: float = 20.0, most: float = 500.0, sample: float = 1.0) -> Column:
+    """Squared share beyond the threshold, growing slowly with the points behind it; -1 below the threshold or `least` points.
+
+    n points were found in a sample of all; their number counts from `least` to `most`, in multiples of `least`.
+    """
+    points = n.cast("double") / sample
     gained = F.pow((share - threshold) / (1.0 - threshold), F.lit(2.0))
-    return F.when((share >= threshold) & (n > 1), gained * (F.log(F.log(n.cast("double")) + 1.0) + 1.0)).otherwise(-1.0)
+    times = F.greatest(F.lit(1.0), F.least(points, F.lit(most)) / least)
+    return F.when((share >= threshold) & (points >= least), gained * (F.log(F.log(times) + 1.0) + 1.0)).otherwise(-1.0)
 
 
 def tent(x: Column, centre: Column, half: float) -> Column:

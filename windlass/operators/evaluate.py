@@ -26,7 +26,7 @@ def average_precision(rows: DataFrame, cls: str, conf: str, hit: str, key: str)
     total = F.sum(F.col(hit).cast("int")).over(W.partitionBy(cls))
     rows = rows.select(cls, conf, key, F.col(hit).cast("int").alias("h"), F.sum(F.col(hit).cast("int")).over(run).alias("tp"), F.row_number().over(w).alias("n"), total.alias("total"))
     rows = rows.withColumn("precision", F.col("tp") / F.col("n"))
-    best = F.max("precision").over(w.rowsBetween(0, W.unboundedFollowing))
+    best = F.max("precision").over(W.partitionBy(cls).orderBy(F.asc(conf), F.desc(key)).rowsBetween(W.unboundedPreceding, 0))
     return rows.withColumn("best", best).groupBy(cls).agg((F.sum(F.col("h") * F.col("best")) / F.nullif(F.max("total"), F.lit(0))).alias("ap"))
 
 

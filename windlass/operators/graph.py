@@ -75,13 +75,15 @@ def bfs_depth(nodes: DataFrame, edges: DataFrame, start: int, most: int | None =
 def jacobi(nodes: DataFrame, edges: DataFrame, pull: float = 0.15, spring: float = 1.0, rounds: int = 1) -> DataFrame:
     """f := (sum of w * (f_neighbour - spring * k) + pull * f) / (sum of w + pull), all nodes at once, `rounds` times.
 
-    k of an edge is f_dst - f_src; a node without edges keeps its f. Only sums leave the map side of each round.
+    k of an edge is f_dst - f_src; a node without edges keeps its f, and so does one whose column `fixed`, if there is one,
+    is true. Only sums leave the map side of each round.
     """
+    stays = F.col("w").isNull() | (F.col("fixed") if "fixed" in nodes.columns else F.lit(False)) | (F.col("w") + pull == 0)
     links = materialize(both_ways(edges))
     for i in range(rounds):
         pulls = links.join(nodes.select(F.col("id").alias("dst"), "f"), "dst")
         per = pulls.groupBy("src").agg(F.sum(F.col("certainty") * (F.col("f") - spring * F.col("k"))).alias("s"), F.sum("certainty").alias("w"))
-        nodes = nodes.join(per, F.col("id") == F.col("src"), "left").withColumn("f", F.when(F.col("w").isNull(), F.col("f")).otherwise((F.col("s") + pull * F.col("f")) / (F.col("w") + pull))).drop("src", "s", "w")
+        nodes = nodes.join(per, F.col("id") == F.col("src"), "left").withColumn("f", F.when(stays, F.col("f")).otherwise((F.col("s") + pull * F.col("f")) / (F.col("w") + pull))).drop("src", "s", "w")
         nodes = materialize(nodes) if i + 1 < rounds else nodes
     return nodes
 
@@ -94,10 +96,10 @@ def edge_errors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def laplacian_turns(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per node the weighted mean of its edges' whole turns of error, rounded; ties to even."""
+    """Per node the weighted mean of its edges' whole turns of error, rounded; ties to even. Without any certainty it is 0."""
     per = edge_errors(nodes, edges).withColumn("turn", F.rint(F.col("diff") / 360.0))
     ends = per.select(F.col("src").alias("id"), F.col("certainty"), F.col("turn")).union(per.select(F.col("dst"), F.col("certainty"), -F.col("turn")))
-    return ends.groupBy("id").agg(F.rint(F.sum(F.col("certainty") * F.col("turn")) / F.sum("certainty")).alias("turns"))
+    return ends.groupBy("id").agg(F.coalesce(F.rint(F.sum(F.col("certainty") * F.col("turn")) / F.nullif(F.sum("certainty"), F.lit(0.0))), F.lit(0.0)).alias("turns"))
 
 
 def spanning_forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -62,13 +62,15 @@ def areas(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def stretch(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Per triangle its L2 and L-infinity stretch from (u, v) to (x, y, z), and both areas."""
+    """Per triangle its L2 and L-infinity stretch from (u, v) to (x, y, z), and both areas; no stretch without an area."""
     rows = corners(triangles, vertices, ["x", "y", "z", "u", "v"])
     c = lambda i, x: F.col(f"c{i}_{x}")
     area2 = ((c(1, "u") - c(0, "u")) * (c(2, "v") - c(0, "v")) - (c(2, "u") - c(0, "u")) * (c(1, "v") - c(0, "v"))) / 2.0
     rows = rows.withColumn("a2", area2)
-    du = {x: (c(0, x) * (c(1, "v") - c(2, "v")) + c(1, x) * (c(2, "v") - c(0, "v")) + c(2, x) * (c(0, "v") - c(1, "v"))) / (2.0 * F.col("a2")) for x in "xyz"}
-    dv = {x: (c(0, x) * (c(2, "u") - c(1, "u")) + c(1, x) * (c(0, "u") - c(2, "u")) + c(2, x) * (c(1, "u") - c(0, "u"))) / (2.0 * F.col("a2")) for x in "xyz"}
+    over = lambda x: F.coalesce(x / F.nullif(2.0 * F.col("a2"), F.lit(0.0)), F.lit(0.0))
+    # Fixed formulas: the published texture stretch metric.
+    du = {x: over(c(0, x) * (c(1, "v") - c(2, "v")) + c(1, x) * (c(2, "v") - c(0, "v")) + c(2, x) * (c(0, "v") - c(1, "v"))) for x in "xyz"}
+    dv = {x: over(c(0, x) * (c(2, "u") - c(1, "u")) + c(1, x) * (c(0, "u") - c(2, "u")) + c(2, x) * (c(1, "u") - c(0, "u"))) for x in "xyz"}
     rows = rows.withColumns({"aa": sum((du[x] * du[x] for x in "yz"), du["x"] * du["x"]), "bb": sum((du[x] * dv[x] for x in "yz"), du["x"] * dv["x"]), "cc": sum((dv[x] * dv[x] for x in "yz"), dv["x"] * dv["x"])})
     wide = F.sqrt((F.col("aa") - F.col("cc")) * (F.col("aa") - F.col("cc")) + 4.0 * F.col("bb") * F.col("bb"))
     area3 = triangle_area(*[[c(i, x) for x in "xyz"] for i in range(3)])

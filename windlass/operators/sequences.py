@@ -31,12 +31,12 @@ def merge_intervals(rows: DataFrame, part: list[str], low: str, high: str) -> Da
 
 def prev_next_fill(rows: DataFrame, part: list[str], order: str, value: str) -> DataFrame:
     """Fills nulls by the line through the nearest values on both sides; beyond the ends by the nearest one."""
-    w = W.partitionBy(*part).orderBy(order)
-    back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    # Both frames run from an end of the part, so that each row costs one step.
+    back, ahead = (W.partitionBy(*part).orderBy(o).rowsBetween(W.unboundedPreceding, 0) for o in (F.col(order), F.desc(order)))
     at = F.when(F.col(value).isNotNull(), F.col(order))
     rows = rows.withColumns({
         "__p": F.last(value, True).over(back), "__pi": F.last(at, True).over(back),
-        "__n": F.first(value, True).over(ahead), "__ni": F.first(at, True).over(ahead),
+        "__n": F.last(value, True).over(ahead), "__ni": F.last(at, True).over(ahead),
     })
     t = (F.col(order) - F.col("__pi")) / F.nullif(F.col("__ni") - F.col("__pi"), F.lit(0))
     line = F.col("__p") + t * (F.col("__n") - F.col("__p"))

@@ -25,7 +25,7 @@ AXIS_POINTS = 50_000
 
 
 def _local_intervals(axis: DataFrame) -> DataFrame:
-    """axis_intervals() of an axis that a bounded read shows to be short; a longer one stays distributed."""
+    """axis_intervals() of an axis that a bounded read shows to be short; a longer one is ordered in one task, by the window."""
     rows = axis.select("y", "x", "z").limit(AXIS_POINTS + 1).collect()
     if len(rows) > AXIS_POINTS:
         return axis_intervals(axis)
@@ -41,6 +41,9 @@ def axis_join(points: DataFrame, axis: DataFrame, y: str = "y", clamp: bool = Tr
     outside the axis goes to two cells of its own.
     """
     iv = _local_intervals(axis)
+    if not iv.limit(1).count():  # fewer than two control points: one is the axis everywhere, without any there is none
+        only = axis.select(F.col("x").cast("double").alias("ax"), F.col("z").cast("double").alias("az")).limit(1)
+        return points.join(F.broadcast(only), F.lit(True), "left")  # one row at most
     ends = iv.agg(F.min("y0").alias("lo"), F.max("y1").alias("hi")).first()
     lo, hi = float(ends["lo"]), float(ends["hi"])
     below, above = int(lo) - 2, int(hi) + 2
@@ -67,7 +70,13 @@ def hopping_blocks(points: DataFrame, size: int = 50, stride: int = 25) -> DataF
 
 
 def blocks_with_enough(points: DataFrame, size: int = 50, stride: int = 25, least: int = 10) -> DataFrame:
-    return hopping_blocks(points, size, stride).groupBy("bx", "by", "bz").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    """Blocks with `least` points or more: the points are counted per cell of `stride`, and each cell adds to its blocks."""
+    if size % stride:
+        return hopping_blocks(points, size, stride).groupBy("bx", "by", "bz").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    cells = points.groupBy(*[F.floor(F.col(c) / stride).alias(f"c{c}") for c in "xyz"]).agg(F.count("*").alias("m"))
+    for c in "xyz":
+        cells = cells.withColumn(f"b{c}", F.explode(F.transform(F.sequence(F.col(f"c{c}") - (size // stride - 1), F.col(f"c{c}")), lambda i: i * stride)))
+    return cells.groupBy("bx", "by", "bz").agg(F.sum("m").alias("n")).where(F.col("n") >= least)
 
 
 def first_per(points: DataFrame, keys: list[str | Column], order: list[str | Column], keep: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from windlass.sources.shared import materialize
@@ -13,16 +14,18 @@ from . import graph
 def random_walks(starts: DataFrame, edges: DataFrame, steps: int, seed: int = 0) -> DataFrame:
     """(walk, node, k) after `steps` steps from starts (walk, node): all walks take a step at once.
 
-    The edge is that with the least hash of (walk, step, edge), which is a uniform choice that reruns repeat; k adds up.
-    A walk without a way on stays where it is.
+    A node's ways are numbered by (dst, k); the first 32 bits of the MD5 of "walk:step:seed" choose among them, so reruns
+    repeat the walk; k adds up. A walk without a way on stays where it is. A step joins one row per walk, whatever the degree.
     """
-    ways = materialize(graph.both_ways(edges.select("src", "dst", "k")))
+    ways = graph.both_ways(edges.select("src", "dst", "k")).select(F.col("src").alias("node"), F.col("dst").alias("to"), F.col("k").alias("dk"))
+    ways = materialize(ways.withColumn("number", F.row_number().over(W.partitionBy("node").orderBy("to", "dk")) - 1))
+    degrees = materialize(ways.groupBy("node").agg(F.count("*").alias("degree")))
     at = starts.select("walk", "node", F.lit(0.0).alias("k"))
     for step in range(steps):
-        tried = at.join(ways.withColumnRenamed("k", "dk"), F.col("node") == F.col("src"), "left")
-        key = F.xxhash64(F.col("walk"), F.lit(step), F.lit(seed), F.col("dst"), F.col("dk"))
-        best = tried.groupBy("walk", "node", "k").agg(F.min_by(F.struct("dst", "dk"), key).alias("e"))
-        at = materialize(best.select("walk", F.coalesce("e.dst", "node").alias("node"), (F.col("k") + F.coalesce("e.dk", F.lit(0.0))).alias("k")))
+        draw = F.conv(F.substring(F.md5(F.concat_ws(":", "walk", F.lit(step), F.lit(seed)).cast("binary")), 1, 8), 16, 10).cast("long")
+        tried = at.join(degrees, "node", "left").withColumn("number", F.try_mod(draw, F.col("degree")).cast("int"))
+        moved = tried.join(ways, ["node", "number"], "left")
+        at = materialize(moved.select("walk", F.coalesce("to", "node").alias("node"), (F.col("k") + F.coalesce("dk", F.lit(0.0))).alias("k")))
     return at
 
 
@@ -45,9 +48,10 @@ def assign_along_tree(tree: DataFrame, root: int) -> DataFrame:
 
 
 def spring_series(start: float, steps: int) -> list[float]:
-    """Spring constants that swing around 1 and settle there."""
-    gap = start - 1.0
-    return [1.0 + (gap if i % 2 == 0 else -gap / (1.0 + gap)) * (1.0 - i / steps) for i in range(steps)] + [1.0]
+    """Spring constants that swing about 1, above it and by the reciprocal below; the swing shrinks to 0.1, the last is 1."""
+    shrink = (0.1 / (start - 1.0)) ** (1.0 / steps)
+    swings = [1.0 + (start - 1.0) * shrink**i for i in range(steps)]
+    return [x if i % 2 == 0 else 1.0 / x for i, x in enumerate(swings)] + [1.0]
 
 
 def spiral(spark, n: int, turns: float = 5.0, pitch: float = 2.0) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from windlass.functions import scalars as S
 from windlass.functions.scalars import r6
 from windlass.operators import evaluate, graph, mesh, neighbours, raster, sequences, spatial, surface, volume, walks
-from windlass.sources.shared import table
+from windlass.sources.shared import materialize, table
 from windlass.streaming import incremental
 
 from . import fixtures as X
@@ -199,15 +199,15 @@ _OVER = sql("dense") + ", u AS (SELECT DISTINCT patch, x, y, z FROM dense), s AS
 
 def _overlaps(spark, d):
     """Shared points of every two patches: the patches at a point meet there; only their pairs leave the map side."""
-    at = X.dense(spark, d).select("patch", "x", "y", "z").distinct().groupBy("x", "y", "z").agg(F.collect_set("patch").alias("ps"))  # a set of few patch numbers
+    at = materialize(X.dense(spark, d).groupBy("x", "y", "z").agg(F.collect_set("patch").alias("ps")))  # a set of few patch numbers, combined on the map side
     pairs = F.flatten(F.transform("ps", lambda a: F.transform(F.filter("ps", lambda b: b > a), lambda b: F.struct(a.alias("p"), b.alias("q")))))
     n = at.select(F.explode(pairs).alias("e")).groupBy("e.p", "e.q").agg(F.count("*").alias("n"))
-    size = X.dense(spark, d).select("patch", "x", "y", "z").distinct().groupBy("patch").agg(F.count("*").alias("size"))
+    size = at.select(F.explode("ps").alias("patch")).groupBy("patch").agg(F.count("*").alias("size"))
     rows = n.join(size.toDF("p", "sp"), "p").join(size.toDF("q", "sq"), "q")
     return rows.withColumn("share", c("n") / F.least("sp", "sq"))
 
 
-@query(_OVER + ", t AS (SELECT p, q, n, n / least(a.size, b.size) AS share FROM o JOIN s a ON a.patch = p JOIN s b ON b.patch = q) SELECT p, q, n, round(share, 6) AS share, round(CASE WHEN share >= 0.05 AND n > 1 THEN pow((share - 0.05) / 0.95, 2) * (ln(ln(n) + 1) + 1) ELSE -1.0 END, 6) AS score FROM t")
+@query(_OVER + ", t AS (SELECT p, q, n, n / least(a.size, b.size) AS share FROM o JOIN s a ON a.patch = p JOIN s b ON b.patch = q) SELECT p, q, n, round(share, 6) AS share, round(CASE WHEN share >= 0.05 AND n >= 20 THEN pow((share - 0.05) / 0.95, 2) * (ln(ln(least(greatest(n, 20), 500) / 20) + 1) + 1) ELSE -1.0 END, 6) AS score FROM t")
 def exact_point_overlap_score(spark, d):
     return _overlaps(spark, d).select("p", "q", "n", r6(c("share")).alias("share"), r6(S.overlap_score(c("share"), c("n"), 0.05)).alias("score"))
 
@@ -440,7 +440,7 @@ def mst_weight(spark, d):
 
 
 def _triangles(spark, d):
-    return mesh.quad_mesh(X.lattice(spark, d), "i", "j", 20)
+    return mesh.quad_mesh(X.lattice(spark, d), "i", "j", X.LATTICE)
 
 
 @query(sql("lattice", "tri") + " SELECT CAST(tid AS BIGINT) AS tid, CAST(v0 AS BIGINT) AS v0, CAST(v1 AS BIGINT) AS v1, CAST(v2 AS BIGINT) AS v2 FROM tri")
@@ -473,10 +473,10 @@ def boundary_edges(spark, d):
 
 def _spoiled(spark, d):
     t = _triangles(spark, d)
-    return t.unionByName(t.where("tid % 37 = 0").withColumn("tid", c("tid") + 10000).withColumn("v2", (c("v2") + 41) % 400))
+    return t.unionByName(t.where("tid % 37 = 0").withColumn("tid", c("tid") + 1000000000).withColumn("v2", c("v2") + 129))
 
 
-@query(sql("lattice", "tri").replace("tri AS (", "tri0 AS (") + ", tri AS (SELECT * FROM tri0 UNION ALL SELECT tid + 10000, v0, v1, (v2 + 41) % 400 FROM tri0 WHERE tid % 37 = 0)" + _EDGE + ", odd AS (SELECT a, b FROM e GROUP BY ALL HAVING count(*) > 2) SELECT CAST(tid AS BIGINT) AS tid FROM tri WHERE tid NOT IN (SELECT tid FROM e JOIN odd USING (a, b))")
+@query(sql("lattice", "tri").replace("tri AS (", "tri0 AS (") + ", tri AS (SELECT * FROM tri0 UNION ALL SELECT tid + 1000000000, v0, v1, v2 + 129 FROM tri0 WHERE tid % 37 = 0)" + _EDGE + ", odd AS (SELECT a, b FROM e GROUP BY ALL HAVING count(*) > 2) SELECT CAST(tid AS BIGINT) AS tid FROM tri WHERE tid NOT IN (SELECT tid FROM e JOIN odd USING (a, b))")
 def non_manifold_edges(spark, d):
     return mesh.without_non_manifold(_spoiled(spark, d)).select(c("tid").cast("long").alias("tid"))
 
@@ -630,7 +630,7 @@ def farthest_points(spark, d):
     return neighbours.farthest_points(X.points(spark, d), "lab", "pid", 8)
 
 
-@query(_TRI3 + ", q AS (SELECT *, (bu - au) * (cv - av) - (cu - au) * (bv - av) AS a2 FROM n), b AS (SELECT q.*, i, j, ((i * 0.02 - au) * (cv - av) - (cu - au) * (j * 0.02 - av)) / a2 AS b1, ((bu - au) * (j * 0.02 - av) - (i * 0.02 - au) * (bv - av)) / a2 AS b2 FROM q, range(0, 60) s(i), range(0, 60) t(j) WHERE i * 0.02 BETWEEN least(au, bu, cu) - 1e-6 AND greatest(au, bu, cu) + 1e-6 AND j * 0.02 BETWEEN least(av, bv, cv) - 1e-6 AND greatest(av, bv, cv) + 1e-6) SELECT CAST(tid AS BIGINT) AS tid, i, j, round(az + b1 * (bz - az) + b2 * (cz - az), 5) + 0.0 AS z FROM b WHERE b1 >= -1e-9 AND b2 >= -1e-9 AND b1 + b2 <= 1 + 1e-9")
+@query(_TRI3 + ", q AS (SELECT *, (bu - au) * (cv - av) - (cu - au) * (bv - av) AS a2 FROM n), b AS (SELECT q.*, ((i * 0.02 - au) * (cv - av) - (cu - au) * (j * 0.02 - av)) / a2 AS b1, ((bu - au) * (j * 0.02 - av) - (i * 0.02 - au) * (bv - av)) / a2 AS b2 FROM (SELECT *, unnest(range(CAST(floor(least(av, bv, cv) / 0.02) AS BIGINT), CAST(ceil(greatest(av, bv, cv) / 0.02) AS BIGINT) + 1)) AS j FROM (SELECT *, unnest(range(CAST(floor(least(au, bu, cu) / 0.02) AS BIGINT), CAST(ceil(greatest(au, bu, cu) / 0.02) AS BIGINT) + 1)) AS i FROM q)) q WHERE i * 0.02 BETWEEN least(au, bu, cu) - 1e-6 AND greatest(au, bu, cu) + 1e-6 AND j * 0.02 BETWEEN least(av, bv, cv) - 1e-6 AND greatest(av, bv, cv) + 1e-6) SELECT CAST(tid AS BIGINT) AS tid, i, j, round(az + b1 * (bz - az) + b2 * (cz - az), 5) + 0.0 AS z FROM b WHERE b1 >= -1e-9 AND b2 >= -1e-9 AND b1 + b2 <= 1 + 1e-9")
 def rasterize_triangles(spark, d):
     r = raster.rasterize(_triangles(spark, d), X.lattice(spark, d), 0.02, ["z"])
     return r.select(c("tid").cast("long").alias("tid"), "i", "j", (F.round("z", 5) + 0.0).alias("z"))
@@ -648,7 +648,12 @@ def box_overlaps(spark, d):
     return raster.box_overlaps(b, 6.0).select("a", "b", r6(c("iou")).alias("iou"))
 
 
-@query()
+_STEPS = ", ".join(
+    f"a{i + 1} AS (SELECT a.walk, coalesce(w.dst, a.node) AS node, a.k + coalesce(w.k, 0) AS k FROM a{i} a LEFT JOIN g ON g.src = a.node LEFT JOIN w ON w.src = a.node AND w.number = CAST('0x' || substr(md5(a.walk || ':{i}:0'), 1, 8) AS BIGINT) % g.degree)" for i in range(4)
+)
+
+
+@query(sql("nodes", "edges") + f", w AS (SELECT src, dst, k, row_number() OVER (PARTITION BY src ORDER BY dst, k) - 1 AS number FROM (SELECT src, dst, k FROM edges UNION ALL SELECT dst, src, -k FROM edges)), g AS (SELECT src, count(*) AS degree FROM w GROUP BY src), a0 AS (SELECT id AS walk, id AS node, 0.0::DOUBLE AS k FROM nodes), {_STEPS}, v AS (SELECT node, CAST(round(k / 360) AS BIGINT) AS turns, count(*) AS n FROM a4 GROUP BY ALL) SELECT node, turns, n FROM v QUALIFY row_number() OVER (PARTITION BY node ORDER BY n DESC, turns) = 1")
 def random_walk_votes(spark, d):
     e = X.edges(spark, d)
     starts = X.nodes(spark, d).select(c("id").alias("walk"), c("id").alias("node"))

@@ -50,10 +50,15 @@ def grid(spark: SparkSession, d: str) -> DataFrame:
     return every.join(filled, ["i", "j"], "left")
 
 
+#: Vertices in a row of the lattice.
+LATTICE = 64
+
+
 def lattice(spark: SparkSession, d: str) -> DataFrame:
-    """20 x 20 vertices over heights of the axis table."""
-    cells = spark.range(400).select((F.col("id") / 20).cast("int").alias("i"), (F.col("id") % 20).cast("int").alias("j"))
-    return cells.select((F.col("i") * 20 + F.col("j")).alias("vid"), "i", "j", F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"), ((F.col("i") * F.col("i") + 3 * F.col("j")) % 7 / 2.0).alias("z"), (F.col("i") / 20.0).alias("u"), (F.col("j") / 20.0).alias("v"))
+    """A vertex for every user and day with an event (days by number, 64 at most); its height is their number of events."""
+    day = (F.floor(F.unix_timestamp("ts") / 86400) % LATTICE).cast("long")
+    cells = table(spark, d, "events").groupBy(F.col("user_id").alias("i"), day.alias("j")).agg(F.count("*").alias("n"))
+    return cells.select((F.col("i") * LATTICE + F.col("j")).alias("vid"), "i", "j", F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"), (F.col("n") / 2.0).alias("z"), (F.col("i") / 20.0).alias("u"), (F.col("j") / 20.0).alias("v"))
 
 
 SQL = {
@@ -64,8 +69,8 @@ SQL = {
     "axis": "axis AS (SELECT CAST(p_size AS DOUBLE) AS y, avg(p_retailprice) / 100 AS x, CAST(count(*) AS DOUBLE) AS z FROM part GROUP BY p_size)",
     "iv": "iv AS (SELECT y AS y0, x AS x0, z AS z0, lead(y) OVER w AS y1, lead(x) OVER w AS x1, lead(z) OVER w AS z1, row_number() OVER w = 1 AS first, row_number() OVER w = count(*) OVER () - 1 AS last FROM axis WINDOW w AS (ORDER BY y) QUALIFY lead(y) OVER w IS NOT NULL)",
     "grid": "filled AS (SELECT user_id AS i, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS j, -avg(value) AS t FROM events GROUP BY ALL), grid AS (SELECT s.i, s.j, f.t FROM (SELECT i, unnest(range(min(j), max(j) + 1)) AS j FROM filled GROUP BY i) s LEFT JOIN filled f USING (i, j))",
-    "lattice": "lattice AS (SELECT i * 20 + j AS vid, i, j, CAST(i AS DOUBLE) AS x, CAST(j AS DOUBLE) AS y, (i * i + 3 * j) % 7 / 2.0::DOUBLE AS z, i / 20.0::DOUBLE AS u, j / 20.0::DOUBLE AS v FROM (SELECT r // 20 AS i, r % 20 AS j FROM range(400) t(r)))",
-    "tri": "tri AS (SELECT (i * 20 + j) * 2 + h AS tid, CASE h WHEN 0 THEN i * 20 + j ELSE (i + 1) * 20 + j END AS v0, CASE h WHEN 0 THEN (i + 1) * 20 + j ELSE (i + 1) * 20 + j + 1 END AS v1, i * 20 + j + 1 AS v2 FROM lattice, range(2) t(h) WHERE i < 19 AND j < 19)",
+    "lattice": "lattice AS (SELECT i * 64 + j AS vid, i, j, CAST(i AS DOUBLE) AS x, CAST(j AS DOUBLE) AS y, n / 2.0::DOUBLE AS z, i / 20.0::DOUBLE AS u, j / 20.0::DOUBLE AS v FROM (SELECT user_id AS i, CAST(floor(epoch(ts) / 86400) AS BIGINT) % 64 AS j, count(*) AS n FROM events GROUP BY ALL))",
+    "tri": "tri AS (SELECT a.vid * 2 + h AS tid, CASE h WHEN 0 THEN a.vid ELSE b.vid END AS v0, CASE h WHEN 0 THEN b.vid ELSE e.vid END AS v1, c.vid AS v2 FROM lattice a JOIN lattice b ON b.i = a.i + 1 AND b.j = a.j JOIN lattice c ON c.i = a.i AND c.j = a.j + 1 JOIN lattice e ON e.i = a.i + 1 AND e.j = a.j + 1, range(2) t(h))",
 }
 
 
