@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,3 +111,34 @@ def triangle_area(a: list[Column], b: list[Column], c: list[Column]) -> Column:
 def rotate_about_y(x: Column, y: Column, z: Column, radians: Column) -> list[Column]:
     c, s = F.cos(radians), F.sin(radians)
     return [c * x + s * z, y, c * z - s * x]
+
+
+def rotate_about_z(x: Column, y: Column, z: Column, radians: Column) -> list[Column]:
+    c, s = F.cos(radians), F.sin(radians)
+    return [c * x - s * y, s * x + c * y, z]
+
+
+def beside(x: Column, z: Column, a: Column, b: Column) -> Column:
+    """Signed distance of (x, z) from the line through the origin along the unit direction (a, b)."""
+    return b * x - a * z
+
+
+def angle_steps(step: float) -> int:
+    """Whole steps in a turn, rounded up to a multiple of four."""
+    n = int(360.0 / step)
+    return n + -n % 4
+
+
+def turn_index(w: Column, first: Column, angle: Column) -> Column:
+    """The turn that the winding angle w is in, seen from `angle`, the first at `first`; never below 0."""
+    return F.greatest(F.lit(0), ((w - first - angle + 180.0) / 360.0).cast("int"))
+
+
+def inverse_transform(matrix: list[list[float]]) -> list[list[float]]:
+    """The inverse of a 4 x 4 transform."""
+    return np.linalg.inv(np.array(matrix, float)).tolist()
+
+
+def combined_transform(first: list[list[float]], second: list[list[float]]) -> list[list[float]]:
+    """The transform that applies `first` and then `second`."""
+    return (np.array(second, float) @ np.array(first, float)).tolist()

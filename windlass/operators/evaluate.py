@@ -30,6 +30,24 @@ def average_precision(rows: DataFrame, cls: str, conf: str, hit: str, key: str)
     return rows.withColumn("best", best).groupBy(cls).agg((F.sum(F.col("h") * F.col("best")) / F.nullif(F.max("total"), F.lit(0))).alias("ap"))
 
 
+def eleven_points(rows: DataFrame, cls: str, conf: str, hit: str, key: str) -> DataFrame:
+    """Per class with a hit the mean over recalls 0, 0.1 .. 1 of the best precision at that recall or more; ties by key."""
+    w = W.partitionBy(cls).orderBy(F.desc(conf), key)
+    h = F.col(hit).cast("int")
+    rows = rows.select(cls, F.sum(h).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("tp"), F.row_number().over(w).alias("n"), F.sum(h).over(W.partitionBy(cls)).alias("total")).where("total > 0")
+    rows = rows.withColumns({"rec": F.col("tp") / F.col("total"), "prec": F.col("tp") / F.col("n")})
+    best = [F.coalesce(F.max(F.when(F.col("rec") >= level / 10.0 - 1e-12, F.col("prec"))), F.lit(0.0)) for level in range(11)]
+    return rows.groupBy(cls).agg((sum(best[1:], best[0]) / 11.0).alias("ap"))
+
+
+def precision_recall(rows: DataFrame, pred: str, gt: str) -> DataFrame:
+    """(cls, n_pred, n_gt, n_true, precision, recall): 0 where a class is never predicted or never true. One pass."""
+    parts = F.explode(F.array(F.struct(F.col(pred).alias("c"), F.lit(1).alias("p"), F.lit(0).alias("g"), F.lit(0).alias("t")), F.struct(F.col(gt).alias("c"), F.lit(0).alias("p"), F.lit(1).alias("g"), (F.col(pred) == F.col(gt)).cast("int").alias("t"))))
+    per = rows.select(parts.alias("r")).groupBy(F.col("r.c").alias("cls")).agg(F.sum("r.p").alias("n_pred"), F.sum("r.g").alias("n_gt"), F.sum("r.t").alias("n_true"))
+    share = lambda n: F.coalesce(F.col("n_true") / F.nullif(F.col(n), F.lit(0)), F.lit(0.0))
+    return per.withColumns({"precision": share("n_pred"), "recall": share("n_gt")})
+
+
 def nms_1d(rows: DataFrame, part: str, low: str, high: str, score: str, key: str, overlap: float) -> DataFrame:
     """Greedy suppression per part: by falling score, a segment stays unless it overlaps a kept one by more than `overlap`."""
 

@@ -72,18 +72,23 @@ def bfs_depth(nodes: DataFrame, edges: DataFrame, start: int, most: int | None =
     return seen
 
 
-def jacobi(nodes: DataFrame, edges: DataFrame, pull: float = 0.15, spring: float = 1.0, rounds: int = 1) -> DataFrame:
-    """f := (sum of w * (f_neighbour - spring * k) + pull * f) / (sum of w + pull), all nodes at once, `rounds` times.
+def jacobi_on(nodes: DataFrame, links: DataFrame, pull: float = 0.15, spring: float = 1.0) -> DataFrame:
+    """One step over links, edges both ways: f := (sum of w * (f_neighbour - spring * k) + pull * f) / (sum of w + pull).
 
     k of an edge is f_dst - f_src; a node without edges keeps its f, and so does one whose column `fixed`, if there is one,
-    is true. Only sums leave the map side of each round.
+    is true. Only sums leave the map side.
     """
     stays = F.col("w").isNull() | (F.col("fixed") if "fixed" in nodes.columns else F.lit(False)) | (F.col("w") + pull == 0)
+    pulls = links.join(nodes.select(F.col("id").alias("dst"), "f"), "dst")
+    per = pulls.groupBy("src").agg(F.sum(F.col("certainty") * (F.col("f") - spring * F.col("k"))).alias("s"), F.sum("certainty").alias("w"))
+    return nodes.join(per, F.col("id") == F.col("src"), "left").withColumn("f", F.when(stays, F.col("f")).otherwise((F.col("s") + pull * F.col("f")) / (F.col("w") + pull))).drop("src", "s", "w")
+
+
+def jacobi(nodes: DataFrame, edges: DataFrame, pull: float = 0.15, spring: float = 1.0, rounds: int = 1) -> DataFrame:
+    """`rounds` steps of jacobi_on, all nodes at once in each."""
     links = materialize(both_ways(edges))
     for i in range(rounds):
-        pulls = links.join(nodes.select(F.col("id").alias("dst"), "f"), "dst")
-        per = pulls.groupBy("src").agg(F.sum(F.col("certainty") * (F.col("f") - spring * F.col("k"))).alias("s"), F.sum("certainty").alias("w"))
-        nodes = nodes.join(per, F.col("id") == F.col("src"), "left").withColumn("f", F.when(stays, F.col("f")).otherwise((F.col("s") + pull * F.col("f")) / (F.col("w") + pull))).drop("src", "s", "w")
+        nodes = jacobi_on(nodes, links, pull, spring)
         nodes = materialize(nodes) if i + 1 < rounds else nodes
     return nodes
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from windlass.functions.scalars import norm, triangle_area
 
+from . import graph
+
 
 def quad_mesh(grid: DataFrame, i: str, j: str, width: int) -> DataFrame:
     """Two triangles for every cell whose four corners exist; vertex number i * width + j. Corners meet by one key each."""
@@ -81,3 +83,12 @@ def longest_sides(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
     rows = corners(triangles, vertices, ["x", "y", "z"])
     side = lambda a, b: norm(*[F.col(f"c{a}_{x}") - F.col(f"c{b}_{x}") for x in "xyz"])
     return rows.select("tid", F.greatest(side(0, 1), side(1, 2), side(2, 0)).alias("side"))
+
+
+def largest_cluster(triangles: DataFrame) -> DataFrame:
+    """The triangles of the largest cluster that is connected by shared vertices; of equal ones that with the smallest tid."""
+    links = triangles.select(F.explode(F.array(F.struct(F.col("v0").alias("src"), F.col("v1").alias("dst")), F.struct(F.col("v1").alias("src"), F.col("v2").alias("dst")))).alias("e")).select("e.src", "e.dst")
+    vertices = triangles.select(F.explode(F.array("v0", "v1", "v2")).alias("id")).distinct()
+    named = triangles.join(graph.components(vertices, links).withColumnRenamed("id", "v0"), "v0")
+    best = named.groupBy("component").agg(F.count("*").alias("n"), F.min("tid").alias("least")).agg(F.max_by("component", F.struct("n", -F.col("least"))).alias("component"))
+    return named.join(F.broadcast(best), "component", "left_semi").select("tid", "v0", "v1", "v2")  # one row

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,3 +61,60 @@ def prefix_offsets(counts: DataFrame, key: str, value: str) -> DataFrame:
     """Exclusive running sum over one row per key (a table of groups, not of rows)."""
     w = W.orderBy(key).rowsBetween(W.unboundedPreceding, -1)
     return counts.withColumn("offset", F.coalesce(F.sum(value).over(w), F.lit(0)))
+
+
+def best_window(rows: DataFrame, keys: list[str], value: str, half: float) -> DataFrame:
+    """Per key the value nearest to the mean of its longest window, and n, the number of rows; ties to the smaller value.
+
+    A window runs over the ordered values; whenever one is added, the smallest go until the smallest left is within `half` of
+    the mean. Of windows of one length the first counts. Equal values are folded into one with a count on the map side, so a
+    key holds its distinct values only.
+    """
+    per = rows.groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__m"))
+    lists = per.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__v", "__m"))).alias("__l"))
+    flat = lists.select(*keys, F.flatten(F.transform("__l", lambda x: F.array_repeat(x["__v"], x["__m"].cast("int")))).alias("__w"))
+    state = lambda start, total, n, most, mean: F.struct(start.cast("int").alias("start"), total.cast("double").alias("total"), n.cast("int").alias("n"), most.cast("int").alias("most"), mean.cast("double").alias("mean"))
+
+    def add(s, i):
+        w = F.col("__w")
+        value_at = F.element_at(w, i)
+        total, n = s["total"] + value_at, s["n"] + 1
+        window = F.struct(s["start"].alias("start"), total.alias("total"), n.alias("n"))
+
+        def drop(t, j):
+            first = F.element_at(w, j)
+            out = (t["start"] == j) & (F.abs(first - t["total"] / t["n"]) > half)
+            return F.when(out, F.struct((t["start"] + 1).alias("start"), (t["total"] - first).alias("total"), (t["n"] - 1).alias("n"))).otherwise(t)
+
+        # Only the smallest value can be out, and mostly none is: then nothing is tried.
+        left = F.when(F.abs(F.element_at(w, s["start"]) - total / n) > half, F.aggregate(F.slice(F.sequence(F.lit(1), i), s["start"], i - s["start"]), window, drop)).otherwise(window)
+        mean = left["total"] / left["n"]
+        longer = left["n"] > s["most"]
+        return state(left["start"], left["total"], left["n"], F.when(longer, left["n"]).otherwise(s["most"]), F.when(longer, mean).otherwise(s["mean"]))
+
+    begin = state(F.lit(1), F.lit(0.0), F.lit(0), F.lit(0), F.lit(0.0))
+    found = flat.withColumn("__b", F.aggregate(F.sequence(F.lit(1), F.size("__w")), begin, add)["mean"])
+    near = F.array_min(F.transform("__w", lambda x: F.struct(F.abs(x - F.col("__b")).alias("d"), x.alias("w"))))["w"]
+    return found.select(*keys, near.alias(value), F.size("__w").cast("long").alias("n"))
+
+
+def spaced(rows: DataFrame, part: str, order: str, value: str, least: float) -> DataFrame:
+    """Rows that are kept going through each part in order: the first, and each that is `least` or more from the last kept.
+
+    The rows arrive sorted and pass through as a stream of batches; one number per part is all that is remembered.
+    """
+    kinds = {f.name: f.dataType for f in rows.schema}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = None, 0.0
+        for frame in batches:
+            keep = []
+            for p, v in zip(frame[part].tolist(), frame[value].tolist(), strict=True):
+                new = now is None or p != now or abs(v - last) >= least
+                if new:
+                    now, last = p, v
+                keep.append(new)
+            yield frame[keep]
+
+    schema = ", ".join(f"{n} {t.simpleString()}" for n, t in kinds.items())
+    return rows.repartition(part).sortWithinPartitions(part, order).mapInPandas(run, schema)
