@@ -42,29 +42,48 @@ def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; the trusted target comes from the table `labels`."""
+    """Documents that the quality rules keep; the trusted target comes from the table `labels`.
+
+    Null and empty texts have no words and go. Repeated rows get equal decisions, and a null doc_id changes none. Whole texts
+    of any length are judged. Without labels only the base rules decide. No documents give none.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: that with the most code points, then the smallest number.
+
+    A row's number is its doc_id, or for rows without one, and all but the first that repeat one, a number beyond all ids; so
+    every row is decided by its own text, and one row of each group stays whatever the ids are. Null texts equal empty ones.
+    """
     rows = _numbered(docs)
     return _without(rows, exact_dedup.exact_dedup(_keyed(rows)).where("NOT kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest number (its doc_id where that is its own), of each group of near duplicates."""
+    """One document, that with the smallest number (as in exact_stage), of each group of near duplicates.
+
+    Texts without words, null ones too, are linked with nothing and stay. Texts of fewer words than a shingle are one shingle.
+    Very long texts are compared whole.
+    """
     rows = _numbered(docs)
     return _without(rows, jaccard_join.jaccard_components(_keyed(rows), NEAR_WORDS, NEAR_NUM, NEAR_DEN).where("component_id <> doc_id"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated as often as their source's target asks."""
+    """Documents repeated as often as their source's target asks.
+
+    Null sources are one source, the last. Rows that repeat a doc_id share its draw, and so do rows without one. Texts without
+    words weigh nothing and are repeated like the others of their source.
+    """
     return mixing.emit_mix(docs)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, n_pieces, ids, text_sha256 of the decoded text, lossless."""
+    """doc_id, n_bytes, n_pieces, ids, text_sha256 of the decoded text, lossless.
+
+    One row per row, copies too, which share their segmentation as they share their doc_id. Null and empty texts have no pieces.
+    """
     return pieces.round_trip(docs, with_ids=True).select("doc_id", "n_bytes", "n_pieces", "ids", "text_sha256", "lossless")
 
 

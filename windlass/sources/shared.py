@@ -11,12 +11,34 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
-def shared_path(spark: SparkSession) -> str:
+#: Folders that this process has named, for clear().
+_MADE: list[str] = []
+
+
+def shared_path(spark: SparkSession, kind: str = "table") -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share.
+
+    Only a local master may do without that setting: a temporary folder takes its place. What is written there stays until
+    clear(), as results read it when they are computed.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="windlass-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    _MADE.append(f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the folders that this process made below spark.checkpoint.dir; DataFrames that read them end with it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def materialize(df: DataFrame) -> DataFrame:
