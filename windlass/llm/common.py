@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windlass.sources.shared import shared_path
+
 #: ASCII white space of the word rule `[^\x20\x09-\x0D]+`.
 SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,15 +18,8 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Only where that setting is absent (tests, local mode) a temporary folder takes its place.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="windlass-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/windlass-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir, which driver and executors share; it stays until shared.clear()."""
+    return shared_path(spark, "windlass")
 
 
 def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:

@@ -11,8 +11,9 @@ from .common import NON_SPACE, SPACES, text_of
 
 #: Cells of either multinomial; n-grams are hashed into them, so both stay this small at any input size.
 BUCKETS = 1 << 18
-#: Pseudo-count of a cell in either multinomial.
-SMOOTHING = 1.0
+#: Pseudo-count of a cell in either multinomial, dealt to the target in its share of all n-grams: a ratio starts from nothing
+#: and grows with the evidence, however many cells there are and however small the corpus is.
+SMOOTHING = 10.0
 #: A document is rejected when its mean log ratio per n-gram is below this.
 THRESHOLD = -0.25
 #: The target is learned from at most about so many labelled documents, chosen by a hash of doc_id beyond that.
@@ -21,6 +22,7 @@ MIN_WORDS = 50
 SYMBOLS = "[#*$%&|<>]"
 #: Log ratios are kept as integers of 1 / SCALE, so that sums do not depend on their order.
 SCALE = 10_000
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
 
 
 def _words(text: Column) -> Column:
@@ -55,10 +57,10 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> list[int]:
     raw, target = [0] * BUCKETS, [0] * BUCKETS
     for r in counts.collect():  # at most BUCKETS rows
         raw[r["g"]], target[r["g"]] = r["raw"], r["target"]
-    n, m = sum(raw) + SMOOTHING * BUCKETS, sum(target) + SMOOTHING * BUCKETS
-    if m == SMOOTHING * BUCKETS:
+    if not sum(target):
         return [0] * BUCKETS
-    return [round(SCALE * math.log((t + SMOOTHING) / m * n / (r + SMOOTHING))) for r, t in zip(raw, target, strict=True)]
+    share = sum(target) / sum(raw)
+    return [round(SCALE * math.log((t + SMOOTHING * share) / (share * (r + SMOOTHING)))) if r else 0 for r, t in zip(raw, target, strict=True)]
 
 
 def base_features(rows: DataFrame) -> DataFrame:
@@ -91,7 +93,10 @@ def _judged(docs: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     total = F.aggregate("__g", F.lit(0).cast("long"), lambda a, g: a + F.get(ratios, g))
     llr = F.coalesce(total / F.nullif(F.size("__g"), F.lit(0)), F.lit(0.0)) / SCALE
     rows = rows.withColumn("llr", F.round(llr, 6)).drop("__g", "__w")
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    rows = rows.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    # A filter on a result stays above this generator, which gives one row each; below it, it would be a copy of all that the
+    # result is computed from. The outer form, as the plain one would infer such a filter itself.
+    return rows.select("__row", F.explode_outer(F.array(F.struct(*FEATURES))).alias("__f")).select("__row", "__f.*")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -102,12 +107,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     doc_id and text are read.
     """
     rows = _judged(docs.select("doc_id", "text"), labels, threshold)
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
-    return rows.select(F.col("__row.doc_id").alias("doc_id"), *names)
+    return rows.select(F.col("__row.doc_id").alias("doc_id"), *FEATURES)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that quality_rules keeps, with all their columns; decided row by row, without a join."""
-    rows = _judged(docs, labels, threshold).select("__row", "kept", F.monotonically_increasing_id().alias("__n"))
-    # A projection with a row number lets no filter through, so that the features are not computed again below it.
-    return rows.where(F.col("kept") & (F.col("__n") >= 0)).select("__row.*")
+    return _judged(docs, labels, threshold).where("kept").select("__row.*")
