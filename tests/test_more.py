@@ -114,6 +114,27 @@ def test_suppression_and_farthest_points(spark):
         assert [far[lab, k] for k in range(6)] == [p[0] for p in chosen]
 
 
+def test_reachability_forest(spark):
+    r = random.Random(9)
+    points = [(i, r.uniform(0, 10), r.uniform(0, 10), r.uniform(0, 10)) for i in range(60)]
+    got = neighbours.reachability_forest(spark.createDataFrame(points, "pid long, x double, y double, z double"), 4.0, 3, "pid").collect()
+    near = {(a[0], b[0]): math.dist(a[1:], b[1:]) for a in points for b in points if math.dist(a[1:], b[1:]) <= 4.0}
+    core = {p: ds[2] for p in range(60) if len(ds := sorted(d for (a, _), d in near.items() if a == p)) >= 3}
+    cost = sorted((max(d, core[a], core[b]), a, b) for (a, b), d in near.items() if a < b and a in core and b in core)
+    top, want = {p: p for p in core}, []
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for d, a, b in cost:
+        if root(a) != root(b):
+            top[root(a)] = root(b)
+            want.append(d)
+    assert len(got) == len(want) and abs(sum(x.cost for x in got) - sum(want)) < 1e-9
+
+
 def test_springs_and_thresholds():
     springs = walks.spring_series(2.0, 5)
     value, shrink, want = 2.0, 0.1**0.2, []

@@ -5,8 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from windlass.sources.shared import materialize
+
 from . import graph, spatial
 
 
@@ -36,6 +39,23 @@ def dbscan(points: DataFrame, radius: float, least: int, key: str) -> DataFrame:
     return points.select(key).join(near.withColumnRenamed("a", key), key, "left")
 
 
+def core_distances(points: DataFrame, radius: float, count: int, key: str) -> DataFrame:
+    """(key, core): distance to the count-th nearest point, the point itself counted, of those that have as many within radius."""
+    pairs = spatial.radius_join(points, points, radius)
+    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy(f"a_{key}").orderBy("d", f"b_{key}")))
+    return ranked.where(F.col("rank") == count).select(F.col(f"a_{key}").alias(key), F.col("d").alias("core"))
+
+
+def reachability_forest(points: DataFrame, radius: float, count: int, key: str) -> DataFrame:
+    """(src, dst, cost): minimum spanning forest of the points with a core distance under mutual reachability, the greatest of
+    two points' distance and their core distances, over pairs within radius. The tree that a density hierarchy is cut from."""
+    core = materialize(core_distances(points, radius, count, key))
+    pairs = spatial.radius_join(points, points, radius).where(F.col(f"a_{key}") < F.col(f"b_{key}"))
+    rows = pairs.join(core.toDF(f"a_{key}", "ca"), f"a_{key}").join(core.toDF(f"b_{key}", "cb"), f"b_{key}")
+    edges = rows.select(F.col(f"a_{key}").alias("src"), F.col(f"b_{key}").alias("dst"), F.lit(0.0).alias("k"), F.greatest("d", "ca", "cb").alias("cost"))
+    return graph.spanning_forest(core.select(F.col(key).alias("id")), edges).select("src", "dst", "cost")
+
+
 def farthest_points(points: DataFrame, part: str, key: str, count: int) -> DataFrame:
     """Per part `count` points, each the farthest from those before it; starts at the smallest key, ties by key."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from windlass.functions import scalars as S
 from windlass.functions.scalars import r6
-from windlass.operators import evaluate, fields, graph, mesh, sequences, solver, spatial
+from windlass.operators import evaluate, fields, graph, mesh, neighbours, sequences, solver, spatial
 from windlass.sources.shared import materialize, table
 
 from . import fixtures as X
@@ -535,3 +535,22 @@ def group_folds(spark, d):
     """Folds by a hash of the group, so that no group is in two."""
     fold = F.conv(F.substring(F.md5(F.concat(c("conv_id").cast("string"), F.lit(":5")).cast("binary")), 1, 8), 16, 10).cast("long") % 5
     return table(spark, d, "conversations").groupBy(fold.alias("fold"), "role").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("groups"))
+
+
+@query(sql("points") + f", n AS (SELECT a.pid, {_NEAR} AS d, row_number() OVER (PARTITION BY a.pid ORDER BY {_NEAR}, b.pid) AS rank FROM points a JOIN points b ON {_NEAR} <= 20) SELECT pid, round(d, 6) AS core FROM n WHERE rank = 4")
+def core_distances(spark, d):
+    return neighbours.core_distances(X.points(spark, d).select("pid", "x", "y", "z"), 20.0, 4, "pid").select("pid", r6(c("core")).alias("core"))
+
+
+@query()
+def reachability_forest(spark, d):
+    f = neighbours.reachability_forest(X.points(spark, d).select("pid", "x", "y", "z"), 12.0, 4, "pid")
+    return f.agg(F.count("*").alias("n"), r6(F.sum("cost")).alias("cost"))
+
+
+@query(sql("dense") + ", e AS (SELECT DISTINCT x AS src, y AS dst, patch % 3 - 1 AS k FROM dense WHERE x <> y) SELECT src, dst, CAST(k AS INT) AS k FROM e a WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.src = a.dst AND b.dst = a.src AND b.k = -a.k)")
+def one_way_steps(spark, d):
+    """Directed steps that cannot be walked back: there is no edge the other way with k of the other sign."""
+    e = X.dense(spark, d).where("x <> y").select(c("x").cast("long").alias("src"), c("y").cast("long").alias("dst"), (c("patch") % 3 - 1).cast("int").alias("k")).distinct()
+    back = e.select(c("dst").alias("src"), c("src").alias("dst"), (-c("k")).alias("k"))
+    return e.join(back, ["src", "dst", "k"], "left_anti")
