@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import raster
+
 
 def confusion(rows: DataFrame, pred: str, gt: str) -> DataFrame:
     return rows.groupBy(F.col(pred).alias("pred"), F.col(gt).alias("gt")).agg(F.count("*").alias("n"))
@@ -48,6 +50,19 @@ def precision_recall(rows: DataFrame, pred: str, gt: str) -> DataFrame:
     return per.withColumns({"precision": share("n_pred"), "recall": share("n_gt")})
 
 
+def matched(detections: DataFrame, truths: DataFrame, cell: float, least: float) -> DataFrame:
+    """(id, score, truth, hit): each detection's truth of the greatest overlap, ties to the smaller id, and whether it counts.
+
+    Boxes are (id, x0, y0, x1, y1); detections have a score. Of the detections whose best truth overlaps by more than `least`,
+    the one with the greatest score, ties to the smaller id, is the truth's hit. truth is null where nothing overlaps.
+    """
+    pairs = raster.box_pairs(detections, truths, cell)
+    best = pairs.groupBy("a").agg(F.max(F.struct("iou", (-F.col("b")).alias("n"))).alias("best")).select(F.col("a").alias("id"), (-F.col("best.n")).alias("truth"), "best.iou")
+    rows = detections.select("id", "score").join(best, "id", "left")
+    first = rows.where(F.col("iou") > least).groupBy("truth").agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("first")).select("first.id", F.lit(True).alias("hit"))
+    return rows.join(first, "id", "left").select("id", "score", "truth", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
 def nms_1d(rows: DataFrame, part: str, low: str, high: str, score: str, key: str, overlap: float) -> DataFrame:
     """Greedy suppression per part: by falling score, a segment stays unless it overlaps a kept one by more than `overlap`."""
 

@@ -128,3 +128,19 @@ def spanning_forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         label = components(trees, picked.select(F.col("cs").alias("src"), F.col("cd").alias("dst")))
         moved = live.join(label.toDF("cs", "ns"), "cs").join(label.toDF("cd", "nd"), "cd")
         live = materialize(moved.where("ns <> nd").select(F.col("ns").alias("cs"), F.col("nd").alias("cd"), "e"))
+
+
+def frontier(nodes: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """(id, n): per node the nodes with `open` true that it reaches in at most `depth` steps, itself included.
+
+    Nodes are sent outwards a step a round, only from where they arrived last; what is kept is a row for every node and node
+    near it, so depth is meant to be small.
+    """
+    links = materialize(both_ways(edges.select("src", "dst", F.lit(0.0).alias("k"))).select("src", "dst").distinct())
+    seen = materialize(nodes.select("id", F.col("id").alias("at")))
+    front = seen
+    for _ in range(depth):
+        steps = front.join(links, F.col("at") == F.col("src")).select("id", F.col("dst").alias("at")).distinct()
+        front = materialize(steps.join(seen, ["id", "at"], "left_anti"))
+        seen = seen.union(front)
+    return seen.join(nodes.select(F.col("id").alias("at"), "open"), "at").groupBy("id").agg(F.sum(F.col("open").cast("int")).alias("n"))

@@ -36,15 +36,23 @@ def sharing_vertices(triangles: DataFrame) -> DataFrame:
     return uses.withColumnRenamed("tid", "a").join(uses.withColumnRenamed("tid", "b"), "v").where("a < b").select("a", "b").distinct()
 
 
-def box_overlaps(boxes: DataFrame, cell: float, key: str = "id") -> DataFrame:
-    """(a, b, iou) of axis-parallel boxes (x0, y0, x1, y1) that overlap, a < b. Boxes meet in the cells that they touch."""
-    spread = boxes.withColumn("i", F.explode(F.sequence(F.floor(F.col("x0") / cell), F.floor(F.col("x1") / cell))))
-    spread = spread.withColumn("j", F.explode(F.sequence(F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell))))
-    a = spread.select("i", "j", *[F.col(c).alias(f"a_{c}") for c in (key, "x0", "y0", "x1", "y1")])
-    b = spread.select("i", "j", *[F.col(c).alias(f"b_{c}") for c in (key, "x0", "y0", "x1", "y1")])
+def box_pairs(a: DataFrame, b: DataFrame, cell: float, key: str = "id") -> DataFrame:
+    """(a, b, iou) of axis-parallel boxes (x0, y0, x1, y1) of a and b that overlap. Boxes meet in the cells that they touch."""
+
+    def spread(boxes: DataFrame, side: str) -> DataFrame:
+        boxes = boxes.withColumn("i", F.explode(F.sequence(F.floor(F.col("x0") / cell), F.floor(F.col("x1") / cell))))
+        boxes = boxes.withColumn("j", F.explode(F.sequence(F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell))))
+        return boxes.select("i", "j", *[F.col(c).alias(f"{side}_{c}") for c in (key, "x0", "y0", "x1", "y1")])
+
     low = lambda x: F.greatest(f"a_{x}0", f"b_{x}0")
     w, h = F.least("a_x1", "b_x1") - low("x"), F.least("a_y1", "b_y1") - low("y")
     # Two boxes share several cells; they are compared only where their overlap begins.
-    pairs = a.join(b, ["i", "j"]).where((F.col(f"a_{key}") < F.col(f"b_{key}")) & (w > 0) & (h > 0) & (F.floor(low("x") / cell) == F.col("i")) & (F.floor(low("y") / cell) == F.col("j")))
+    first = (F.floor(low("x") / cell) == F.col("i")) & (F.floor(low("y") / cell) == F.col("j"))
+    pairs = spread(a, "a").join(spread(b, "b"), ["i", "j"]).where((w > 0) & (h > 0) & first)
     size = lambda s: (F.col(f"{s}_x1") - F.col(f"{s}_x0")) * (F.col(f"{s}_y1") - F.col(f"{s}_y0"))
     return pairs.select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"), (w * h / (size("a") + size("b") - w * h)).alias("iou"))
+
+
+def box_overlaps(boxes: DataFrame, cell: float, key: str = "id") -> DataFrame:
+    """(a, b, iou) of box_pairs among one set of boxes, a < b."""
+    return box_pairs(boxes, boxes, cell, key).where("a < b")
