@@ -33,3 +33,7 @@ def same(spark, met, name):
 
 def test_parts_come_before_suppliers_whatever_their_ids(spark, met):
     same(spark, met, "edge_canonical_sum")
+
+
+def test_potentials_of_edges_that_appear_twice(spark, met):
+    same(spark, met, "belief_potentials")

@@ -25,16 +25,18 @@ def with_turns(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def potentials(rows: DataFrame, reach: int, off: float | None = None) -> DataFrame:
     """(src, dst, s1, s2, potential) of rows of with_turns for all pairs of shifts.
 
-    With `off`, deviations cost exponentially, and each end has a further state, reach + 1, that switches it off at that cost.
+    With `off`, deviations cost exponentially, and each end has a further state, reach + 1, that switches it off at that cost;
+    a column `plain` then has what the potential is without `off`, null where an end is switched off.
     """
     states = F.sequence(F.lit(-reach), F.lit(reach if off is None else reach + 1))
     rows = rows.withColumn("s1", F.explode(states)).withColumn("s2", F.explode(states))
     away = F.abs(F.col("ell") + F.col("s1") - F.col("s2"))
-    value = -F.col("certainty") * (away if off is None else F.exp(away))
-    if off is not None:
-        out = (F.col("s1") > reach).cast("int") + (F.col("s2") > reach).cast("int")
-        value = F.when(out > 0, -off * out).otherwise(value)
-    return rows.select("src", "dst", "s1", "s2", value.alias("potential"))
+    plain = -F.col("certainty") * away
+    if off is None:
+        return rows.select("src", "dst", "s1", "s2", plain.alias("potential"))
+    out = (F.col("s1") > reach).cast("int") + (F.col("s2") > reach).cast("int")
+    value = F.when(out > 0, -off * out).otherwise(-F.col("certainty") * F.exp(away))
+    return rows.select("src", "dst", "s1", "s2", value.alias("potential"), F.when(out == 0, plain).alias("plain"))
 
 
 def loss(nodes: DataFrame, edges: DataFrame) -> DataFrame:

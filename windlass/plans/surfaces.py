@@ -154,10 +154,8 @@ def _moved(spark, d):
 def belief_potentials(spark, d):
     """Potentials of all pairs of shifts, and those where an end can be switched off."""
     rows = belief.with_turns(_moved(spark, d), X.edges(spark, d))
-    keys = ["src", "dst", "s1", "s2"]
-    switched = belief.potentials(rows, 1, 0.5).withColumnRenamed("potential", "switched")
-    plain = belief.potentials(rows, 1).withColumnRenamed("potential", "plain")
-    return switched.join(plain, keys, "left").select(*keys, r6(c("plain")).alias("plain"), r6(c("switched")).alias("switched"))
+    both = belief.potentials(rows, 1, 0.5)
+    return both.select("src", "dst", "s1", "s2", r6(c("plain")).alias("plain"), r6(c("potential")).alias("switched"))
 
 
 _STEP = _NODES + ", m AS (SELECT dst AS id, s2 AS s, max(-certainty * abs(ell + s1 - s2)) AS m FROM el, range(-2, 3) a(s1), range(-2, 3) b(s2) GROUP BY src, dst, certainty, ell, s2 UNION ALL SELECT src, s1, max(-certainty * abs(ell + s1 - s2)) FROM el, range(-2, 3) a(s1), range(-2, 3) b(s2) GROUP BY src, dst, certainty, ell, s1), t AS (SELECT id, s, sum(m) AS t FROM m GROUP BY id, s), z AS (SELECT id, s FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(t, 9) DESC, s) = 1)"
