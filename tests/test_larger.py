@@ -6,7 +6,8 @@ import compare
 import duckdb
 import pytest
 
-from windlass.plans import catalogue
+from windlass.operators import graph
+from windlass.plans import catalogue, more, surfaces  # noqa: F401 - they add their queries
 
 
 @pytest.fixture(scope="module")
@@ -37,3 +38,11 @@ def test_parts_come_before_suppliers_whatever_their_ids(spark, met):
 
 def test_potentials_of_edges_that_appear_twice(spark, met):
     same(spark, met, "belief_potentials")
+
+
+def test_turns_at_a_half_do_not_follow_the_order_of_sums(spark):
+    """Certainties of 0.3 for one turn and 0.3 for none: the half goes to the even 0, though 0.14 + 0.11 + 0.05 > 0.3 as sums."""
+    turned, still = [0.14, 0.11, 0.05], [0.18, 0.12]
+    nodes = spark.createDataFrame([(0, 0.0)] + [(i, 360.0 if i <= 3 else 0.0) for i in range(1, 6)], "id long, f double")
+    edges = spark.createDataFrame([(0, i, 0.0, w) for i, w in enumerate(turned + still, 1)], "src long, dst long, k double, certainty double")
+    assert {r.id: r.turns for r in graph.laplacian_turns(nodes, edges).collect()}[0] == 0.0
