@@ -46,3 +46,12 @@ def test_turns_at_a_half_do_not_follow_the_order_of_sums(spark):
     nodes = spark.createDataFrame([(0, 0.0)] + [(i, 360.0 if i <= 3 else 0.0) for i in range(1, 6)], "id long, f double")
     edges = spark.createDataFrame([(0, i, 0.0, w) for i, w in enumerate(turned + still, 1)], "src long, dst long, k double, certainty double")
     assert {r.id: r.turns for r in graph.laplacian_turns(nodes, edges).collect()}[0] == 0.0
+
+
+@pytest.mark.parametrize("name", ["jacobi_step_1", "jacobi_step_2"])
+def test_steps_where_two_nodes_share_an_id(spark, met, name):
+    same(spark, met, name)
+
+
+def test_step_with_fixed_nodes_that_share_an_id(spark, met):
+    same(spark, met, "solver_step_fixed")
