@@ -55,3 +55,17 @@ def test_steps_where_two_nodes_share_an_id(spark, met, name):
 
 def test_step_with_fixed_nodes_that_share_an_id(spark, met):
     same(spark, met, "solver_step_fixed")
+
+
+def test_two_hops_are_no_rows(spark):
+    """A hub of 3,000 nodes, a chain over the border of a block and negative ids: brute force, and no row for a pair of nodes."""
+    pairs = [(5, i) for i in range(3000, 6000)] + [(i, i + 1) for i in range(4090, 4100)] + [(-3, 5), (-3, -4097)]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, {a}).add(b)
+        near.setdefault(b, {b}).add(a)
+    want = {a: len(set().union(*[near[m] - {m} for m in near[a]]) | {a}) for a in near if a >= -3}
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    got = graph.two_hops(edges, -3)
+    assert {r.id: r.n for r in got.collect()} == want
+    assert graph._block_pairs(edges, -3).count() < 10_000  # pairs are over 9 million
