@@ -6,8 +6,9 @@ import compare
 import duckdb
 import pytest
 
-from windlass.operators import graph
+from windlass.operators import graph, walks
 from windlass.plans import catalogue, more, surfaces  # noqa: F401 - they add their queries
+from windlass.sources import shared
 
 
 @pytest.fixture(scope="module")
@@ -69,3 +70,13 @@ def test_two_hops_are_no_rows(spark):
     got = graph.two_hops(edges, -3)
     assert {r.id: r.n for r in got.collect()} == want
     assert graph._block_pairs(edges, -3).count() < 10_000  # pairs are over 9 million
+
+
+def test_depth_of_a_tree_costs_no_rounds(spark):
+    """A chain of 400 nodes with ids in any order, beside a tree that the root does not reach."""
+    order = [(i * 173) % 401 for i in range(400)]
+    rows = [(a, b, 2.0) if a % 2 else (b, a, -2.0) for a, b in zip(order, order[1:], strict=False)] + [(1000, 1001, 5.0)]
+    made = len(shared._MADE)
+    got = {r.id: r.f for r in walks.assign_along_tree(spark.createDataFrame(rows, "src long, dst long, k double"), order[7]).collect()}
+    assert got == {n: 2.0 * (i - 7) for i, n in enumerate(order)}
+    assert len(shared._MADE) - made < 100
