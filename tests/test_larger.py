@@ -6,7 +6,7 @@ import compare
 import duckdb
 import pytest
 
-from windlass.operators import graph, walks
+from windlass.operators import graph, solver, walks
 from windlass.plans import catalogue, more, surfaces  # noqa: F401 - they add their queries
 from windlass.sources import shared
 
@@ -80,3 +80,11 @@ def test_depth_of_a_tree_costs_no_rounds(spark):
     got = {r.id: r.f for r in walks.assign_along_tree(spark.createDataFrame(rows, "src long, dst long, k double"), order[7]).collect()}
     assert got == {n: 2.0 * (i - 7) for i, n in enumerate(order)}
     assert len(shared._MADE) - made < 100
+
+
+def test_depth_of_the_solvers_tree_costs_no_rounds(spark):
+    edges = spark.createDataFrame([(i, i + 1, 360.0, 1.0, False) for i in range(300)], "src long, dst long, k double, certainty double, same_block boolean")
+    nodes = spark.createDataFrame([(i, float(i % 7)) for i in range(301)], "id long, f double")
+    made = len(shared._MADE)
+    assert {r.id: r.f for r in solver.anchored(nodes, edges).collect()} == {i: i % 7 + 360.0 * i for i in range(301)}
+    assert len(shared._MADE) - made < 100
