@@ -41,9 +41,9 @@ def dbscan(points: DataFrame, radius: float, least: int, key: str) -> DataFrame:
 
 def core_distances(points: DataFrame, radius: float, count: int, key: str) -> DataFrame:
     """(key, core): distance to the count-th nearest point, the point itself counted, of those that have as many within radius."""
-    pairs = spatial.radius_join(points, points, radius)
-    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy(f"a_{key}").orderBy("d", f"b_{key}")))
-    return ranked.where(F.col("rank") == count).select(F.col(f"a_{key}").alias(key), F.col("d").alias("core"))
+    if count <= 1:
+        return points.select(key, F.lit(0.0).alias("core"))
+    return spatial.k_nearest(points, count - 1, radius, key).where(F.col("rank") == count - 1).select(key, F.col("d").alias("core"))
 
 
 def reachability_forest(points: DataFrame, radius: float, count: int, key: str) -> DataFrame:
