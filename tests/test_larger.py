@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from windlass.operators import graph, neighbours, solver, spatial, walks
+from windlass.operators import graph, neighbours, sequences, solver, spatial, walks
 from windlass.plans import catalogue, more, surfaces  # noqa: F401 - they add their queries
 from windlass.sources import shared
 
@@ -118,3 +118,18 @@ def test_core_distances_beside_a_crowd(spark):
         d = np.sort(np.sqrt(((p - p[i]) ** 2)[:, 0] + ((p - p[i]) ** 2)[:, 1] + ((p - p[i]) ** 2)[:, 2]))
         assert got.get(i) == (d[3] if d[3] <= 2.0 else None)
     assert got[31_499] == 0.0
+
+
+def test_best_window_of_one_large_key(spark):
+    """40,000 distinct values in one key, and one without a value: the window of a plain walk."""
+    w = sorted({((i * 7919) % 400_009) / 8.0 for i in range(40_000)})
+    start, total, n, most, mean = 0, 0.0, 0, 0, 0.0
+    for v in w:
+        total, n = total + v, n + 1
+        while abs(w[start] - total / n) > 9000.0:
+            total, n, start = total - w[start], n - 1, start + 1
+        if n > most:
+            most, mean = n, total / n
+    want = min(w, key=lambda x: (abs(x - mean), x))
+    rows = spark.createDataFrame([(1, v) for v in w] + [(1, None), (2, None)], "k int, w double")
+    assert {r.k: (r.w, r.n) for r in sequences.best_window(rows, ["k"], "w", 9000.0).collect()} == {1: (want, len(w) + 1), 2: (None, 1)}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,30 +73,27 @@ def best_window(rows: DataFrame, keys: list[str], value: str, half: float) -> Da
     """
     per = rows.groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__m"))
     lists = per.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__v", "__m"))).alias("__l"))
-    flat = lists.select(*keys, F.flatten(F.transform("__l", lambda x: F.array_repeat(x["__v"], x["__m"].cast("int")))).alias("__w"))
-    state = lambda start, total, n, most, mean: F.struct(start.cast("int").alias("start"), total.cast("double").alias("total"), n.cast("int").alias("n"), most.cast("int").alias("most"), mean.cast("double").alias("mean"))
-
-    def add(s, i):
-        w = F.col("__w")
-        value_at = F.element_at(w, i)
-        total, n = s["total"] + value_at, s["n"] + 1
-        window = F.struct(s["start"].alias("start"), total.alias("total"), n.alias("n"))
-
-        def drop(t, j):
-            first = F.element_at(w, j)
-            out = (t["start"] == j) & (F.abs(first - t["total"] / t["n"]) > half)
-            return F.when(out, F.struct((t["start"] + 1).alias("start"), (t["total"] - first).alias("total"), (t["n"] - 1).alias("n"))).otherwise(t)
-
-        # Only the smallest value can be out, and mostly none is: then nothing is tried.
-        left = F.when(F.abs(F.element_at(w, s["start"]) - total / n) > half, F.aggregate(F.slice(F.sequence(F.lit(1), i), s["start"], i - s["start"]), window, drop)).otherwise(window)
-        mean = left["total"] / left["n"]
-        longer = left["n"] > s["most"]
-        return state(left["start"], left["total"], left["n"], F.when(longer, left["n"]).otherwise(s["most"]), F.when(longer, mean).otherwise(s["mean"]))
-
-    begin = state(F.lit(1), F.lit(0.0), F.lit(0), F.lit(0), F.lit(0.0))
-    found = flat.withColumn("__b", F.aggregate(F.sequence(F.lit(1), F.size("__w")), begin, add)["mean"])
-    near = F.array_min(F.transform("__w", lambda x: F.struct(F.abs(x - F.col("__b")).alias("d"), x.alias("w"))))["w"]
-    return found.select(*keys, near.alias(value), F.size("__w").cast("long").alias("n"))
+    lists = lists.select(*keys, F.col("__l.__v").alias("__v"), F.col("__l.__m").alias("__m"))
+
+    def best(values: list[float], counts: list[int]) -> float | None:
+        every = [v for v, m in zip(values, counts, strict=True) if v is not None for _ in range(m)]
+        start, total, n, most, mean = 0, 0.0, 0, 0, 0.0
+        for i, v in enumerate(every):
+            total, n = total + v, n + 1
+            while start < i and abs(every[start] - total / n) > half:
+                total, n, start = total - every[start], n - 1, start + 1
+            if n > most:
+                most, mean = n, total / n
+        return min(((abs(v - mean), v) for v in values if v is not None), default=(0.0, None))[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, counts = batch["__v"].to_pylist(), batch["__m"].to_pylist()
+            found = pa.array([best(v, m) for v, m in zip(values, counts, strict=True)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*[batch[k] for k in keys], found, pa.array([sum(m) for m in counts], pa.int64())], [*keys, value, "n"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in lists.schema}
+    return lists.mapInArrow(run, ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"{value} double", "n long"]))
 
 
 def spaced(rows: DataFrame, part: str, order: str, value: str, least: float) -> DataFrame:
