@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from windlass.operators import graph, neighbours, sequences, solver, spatial, walks
+from windlass.operators import closest, graph, neighbours, sequences, solver, spatial, walks
 from windlass.plans import catalogue, more, surfaces  # noqa: F401 - they add their queries
 from windlass.sources import shared
 
@@ -133,3 +133,12 @@ def test_best_window_of_one_large_key(spark):
     want = min(w, key=lambda x: (abs(x - mean), x))
     rows = spark.createDataFrame([(1, v) for v in w] + [(1, None), (2, None)], "k int, w double")
     assert {r.k: (r.w, r.n) for r in sequences.best_window(rows, ["k"], "w", 9000.0).collect()} == {1: (want, len(w) + 1), 2: (None, 1)}
+
+
+def test_equal_rays_are_followed_once(spark):
+    """2,000 rays of one shape over 400 triangles in reach: every ray gets its hit; rays with keys of their own and one shared."""
+    names = "tid long, c0_x double, c0_y double, c0_z double, c1_x double, c1_y double, c1_z double, c2_x double, c2_y double, c2_z double, c0_w double"
+    flat = spark.createDataFrame([(t, -9.0, -9.0, 1.0 + t / 100, 9.0, -9.0, 1.0 + t / 100, 0.0, 9.0, 1.0 + t / 100, 0.0) for t in range(400)], names)
+    rays = spark.createDataFrame([(i // 2, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0 if i % 2 else -1.0, 1.0) for i in range(2000)] + [(5000, 0.0, 0.0, None, 0.0, 0.0, 1.0, 1.0)], "pid long, x double, y double, z double, dx double, dy double, dz double, w double")
+    got = {r.pid: (r.tid, r.d, r.way) for r in closest.ray_hits(rays, flat, 6.0, 2.0, "pid", 45.0).collect()}
+    assert got == {i: (0, 1.0, 1) for i in range(1000)}

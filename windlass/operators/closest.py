@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windlass.functions.scalars import cross, dot, norm
+from windlass.sources.shared import materialize, small
 
 from . import spatial
 
@@ -105,15 +106,26 @@ def ray_hits(rays: DataFrame, corners: DataFrame, reach: float, cell: float, key
 
     rays: (key, x, y, z, dx, dy, dz, w) with unit directions; corners also carry c0_w. A hit counts if |w - c0_w| < band. way is
     1 along the direction and -1 against it; a tie goes along it, then to the smaller tid. The line is cut into pieces as long
-    as a cell, each of which is in eight cells at most. Rays without a hit are left out.
+    as a cell, each of which is in eight cells at most. Rays without a hit are left out. Equal rays are followed once.
     """
-    pieces = -int(-2 * reach // cell)
-    start = F.lit(-reach) + F.col("__piece") * cell
-    p = rays.select(key, "w", *[F.col(a).alias(f"p_{a}") for a in "xyz"], "dx", "dy", "dz").withColumn("__piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    shape = ["x", "y", "z", "dx", "dy", "dz", "w"]
+    one = materialize(rays.select(*shape).distinct().withColumn("__ray", F.monotonically_increasing_id()))
+    # Triangles beyond the reach of all rays, or outside their band, are left out before they are dealt to cells.
+    ends = one.agg(*[f(v).alias(f"{n}_{v}") for v in "xyzw" for n, f in (("lo", F.min), ("hi", F.max))]).first()
     for a in "xyz":
-        ends = [F.col(f"p_{a}") + s * F.col(f"d{a}") for s in (start, start + cell)]
-        p = p.withColumn(f"__{a}", F.explode(F.sequence(F.floor(F.least(*ends) / cell), F.floor(F.greatest(*ends) / cell))))
-    p = p.drop("__piece").distinct()
+        corners = corners.where((_high(a) >= F.lit(ends[f"lo_{a}"]) - (reach + cell)) & (_low(a) <= F.lit(ends[f"hi_{a}"]) + (reach + cell)))
+    corners = corners.where((F.col("c0_w") > F.lit(ends["lo_w"]) - band) & (F.col("c0_w") < F.lit(ends["hi_w"]) + band))
+    pieces = -int(-2 * reach // cell)
+
+    def cells(piece: Column) -> Column:
+        span = {}
+        for a in "xyz":
+            ends = [F.col(f"p_{a}") + (F.lit(-reach) + s * cell) * F.col(f"d{a}") for s in (piece, piece + 1)]
+            span[a] = F.sequence(F.floor(F.least(*ends) / cell), F.floor(F.greatest(*ends) / cell))
+        return F.flatten(F.transform(span["x"], lambda x: F.flatten(F.transform(span["y"], lambda y: F.transform(span["z"], lambda z: F.struct(x.alias("__x"), y.alias("__y"), z.alias("__z")))))))
+
+    p = one.select("__ray", "w", *[F.col(a).alias(f"p_{a}") for a in "xyz"], "dx", "dy", "dz")
+    p = p.withColumn("__c", F.explode(F.array_distinct(F.flatten(F.array(*[cells(F.lit(i)) for i in range(pieces)]))))).select("*", "__c.*").drop("__c")
     pairs = p.join(_in_cells(corners, 1e-6, cell), [f"__{a}" for a in "xyz"]).where(F.abs(F.col("w") - F.col("c0_w")) < band)
     d = [F.col(f"d{a}") for a in "xyz"]
     first, second, off = _minus(_corner(1), _corner(0)), _minus(_corner(2), _corner(0)), _minus([F.col(f"p_{a}") for a in "xyz"], _corner(0))
@@ -122,7 +134,8 @@ def ray_hits(rays: DataFrame, corners: DataFrame, reach: float, cell: float, key
     pairs = pairs.withColumns({"__det": F.when(F.abs(det) > 1e-12, det), "__u": dot(off, h), "__v": dot(d, q), "__t": dot(second, q)})
     pairs = pairs.withColumns({"__u": F.col("__u") / F.col("__det"), "__v": F.col("__v") / F.col("__det"), "__t": F.round(F.col("__t") / F.col("__det"), DIGITS)})
     pairs = pairs.where("__u >= -1e-9 AND __v >= -1e-9 AND __u + __v <= 1 + 1e-9").where(F.abs("__t") <= reach)
-    best = pairs.groupBy(key).agg(F.min(F.struct(F.abs("__t").alias("d"), (F.col("__t") < 0).alias("back"), "tid")).alias("best"))
+    hits = materialize(pairs.groupBy("__ray").agg(F.min(F.struct(F.abs("__t").alias("d"), (F.col("__t") < 0).alias("back"), "tid")).alias("best")))
+    best = rays.join(small(one.join(hits, "__ray").select(*shape, "best")), shape).groupBy(key).agg(F.min("best").alias("best"))
     return best.select(key, "best.tid", "best.d", F.when(F.col("best.back"), -1).otherwise(1).alias("way"))
 
 
