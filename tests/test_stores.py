@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -97,3 +98,14 @@ def test_shared_folders_are_cleared(spark):
     assert files and shared.clear(spark) >= 1
     with pytest.raises(Exception, match="(?i)not.*exist|not found|FILE"):
         spark.read.parquet(files[0]).count()
+
+
+def test_tables_between_steps_start_no_process_per_file(spark):
+    """The file system that starts a chmod per file is the one that leaves checksum files beside them."""
+    from windlass.llm.common import stored
+
+    for write in (shared.materialize, stored):
+        made = write(spark.range(9))
+        folder = Path(shared._MADE[-1].removeprefix("file://"))
+        assert sorted(r.id for r in made.collect()) == list(range(9))
+        assert list(folder.glob("*.parquet")) and not list(folder.rglob("*.crc"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windlass.sources.shared import shared_path
+from windlass.sources.shared import PLAIN_FILES, shared_path
 
 #: ASCII white space of the word rule `[^\x20\x09-\x0D]+`.
 SPACE = " \t\n\x0b\x0c\r"
@@ -29,7 +29,7 @@ def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.options(compression="zstd", **PLAIN_FILES)
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
