@@ -135,6 +135,45 @@ def test_reachability_forest(spark):
     assert len(got) == len(want) and abs(sum(x.cost for x in got) - sum(want)) < 1e-9
 
 
+def test_reachability_forest_without_a_table_of_pairs(spark, monkeypatch):
+    """Dense points within one radius, copies at one place, two clusters apart, points out of reach: the forest of all pairs, from few rows."""
+    r = random.Random(11)
+    points = [(i, r.gauss(0, 3), r.gauss(0, 3), r.gauss(0, 3)) for i in range(500)] + [(500 + i, r.gauss(25, 1), 0.0, r.gauss(0, 1)) for i in range(200)]
+    points += [(700 + i, 1.0, 1.0, 1.0) for i in range(150)] + [(850 + i, 200.0, 0.1 * i, 0.0) for i in range(6)] + [(900, 500.0, 0.0, 0.0), (901, None, 0.0, 0.0)]
+    monkeypatch.setattr(neighbours.spatial, "LEAF", 32)
+
+    def no_pairs(*a, **b):
+        raise AssertionError("all pairs within the radius were joined")
+
+    monkeypatch.setattr(neighbours.spatial, "radius_join", no_pairs)
+    got = neighbours.reachability_forest(spark.createDataFrame(points, "pid long, x double, y double, z double"), 24.0, 4, "pid").collect()
+    p = np.array([x[1:] for x in points[:-1]])
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
+    ranked = np.sort(d, axis=1)[:, 3]
+    cost = np.maximum(np.maximum(d, ranked[:, None]), ranked[None])
+    a, b = np.nonzero(np.triu(d <= 24.0, 1) & (ranked <= 24.0)[:, None] & (ranked <= 24.0)[None])
+    keys, top = [x[0] for x in points[:-1]], list(range(len(p)))
+
+    def root(x):
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    want = []
+    for i in np.argsort(cost[a, b], kind="stable"):
+        x, y = root(a[i]), root(b[i])
+        if x != y:
+            top[x] = y
+            want.append(cost[a[i], b[i]])
+    assert np.allclose(sorted(x.cost for x in got), want, atol=1e-9)
+    at, joined = {k: i for i, k in enumerate(keys)}, list(range(len(p)))
+    top[:] = joined
+    for x in got:
+        i, j = at[x.src], at[x.dst]
+        assert d[i, j] <= 24.0 and abs(cost[i, j] - x.cost) < 1e-9 and root(i) != root(j)
+        top[root(i)] = root(j)
+
+
 def test_springs_and_thresholds():
     springs = walks.spring_series(2.0, 5)
     value, shrink, want = 2.0, 0.1**0.2, []
